@@ -41,7 +41,7 @@ class Rule:
 #: The method's verdict; measures are columns of ``measures``.
 RULES = (
     Rule("mean_word_chars", 2.0, 14.0),
-    Rule("symbols_per_word", None, 0.4),
+    Rule("symbols_per_word", None, 0.3),
     Rule("marks_per_word", None, 0.4),
     Rule("stop_word_share", 0.02, None),
     Rule("dup_line_share", None, 0.5),
