@@ -16,8 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
-
 _SPACE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -48,14 +46,16 @@ RULES = (
 )
 
 
-def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and the measures that rules may name."""
+def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the measures that rules may name, and ``carried``: a struct
+    of the columns to carry along."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    a = columns(docs, key, text).select(F.col(f"`{key}`").alias("doc_id"), t.alias("t"))
+    along = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("boolean")
+    a = docs.select(F.col(f"`{key}`").alias("doc_id"), t.alias("t"), along.alias("carried"))
     bare = F.btrim("t", F.lit(_SPACE))
     kept = F.col("t")
     a = a.select(
-        "doc_id",
+        "doc_id", "carried",
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\n\x0B\f\r]+")).alias("words"),
         F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("lines"),
         F.length(F.translate(kept, _SPACE, "")).cast("long").alias("word_chars"),
@@ -65,7 +65,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     n = F.size("words")
     starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
     a = a.select(
-        "doc_id", "words", "word_chars", "n_symbols", "n_marks",
+        "doc_id", "carried", "words", "word_chars", "n_symbols", "n_marks",
         n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -85,7 +85,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     a = a.withColumn("n_repeat_words", F.aggregate(found, zero, step, lambda acc: acc["total"]).cast("long")).drop("sorted")
     share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(F.lit(0.0))
     return a.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
+        "doc_id", "carried", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
         share("word_chars", "n_words").alias("mean_word_chars"),
         share("n_symbols", "n_words").alias("symbols_per_word"),
         share("n_marks", "n_words").alias("marks_per_word"),
@@ -117,6 +117,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"), *ratios)
 
 
+def keep(docs: DataFrame, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that pass, with the named columns; nothing is shuffled."""
+    return measures(docs, carry=names).where(~base_failed() & verdict(rules)).select("carried.*")
+
+
 def _list(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 

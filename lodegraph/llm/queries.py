@@ -53,8 +53,47 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search_every
+
+    return search_every(spark, table(spark, sf_dir, "embeddings"), step=100, k=10)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in sys.path:
+        sys.path.insert(0, root)
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_simhash_dedup, op4_warc, op6_packing)
+    f.__name__: f
+    for f in (op1_token_store, op2_quality_rules, op3_simhash_dedup, op4_warc, op5_bpe, op6_packing, op7_pii, op8_ann, op9_quality_classifier, op10_license_scan, pipeline)
 }
 
 
