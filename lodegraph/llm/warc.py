@@ -62,27 +62,41 @@ def write_archives(pages: DataFrame, folder: str) -> list[dict]:
     """Write every row; returns ``{"file", "bytes"}`` a file."""
     rows = columns(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    ).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("response"))
+    )
+
+    def squeeze(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            raw = batch.column(2).cast(pa.binary()).to_pylist()
+            sha1, data = [hashlib.sha1(x).hexdigest() for x in raw], [small.compress(x) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha1, pa.string()), pa.array(data, pa.binary())], names=["page_id", "url", "sha1", "data"])
+
+    squeezed = rows.mapInArrow(squeeze, "page_id long, url string, sha1 string, data binary")  # payloads are dealt compressed
+    first = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1")).groupBy("sha1").agg(F.max("page_id").alias("response"))
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
+        whole = zstandard.ZstdDecompressor().decompress
         file = f"part-{TaskContext.get().partitionId():05d}.warc"
         size = 0
 
         def fill(out) -> None:
             nonlocal size
             for batch in batches:
-                for page, url, html, sha1, response in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4)))):
+                for page, url, sha1, data, response in zip(*(c.to_pylist() for c in batch.columns)):
                     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                    size += out.write(record(page, url, html, digest, response, page != response))
+                    size += out.write(record(page, url, whole(data), digest, response, page != response))
 
         publish(f"{folder}/{file}", fill)
         yield pa.RecordBatch.from_pydict({"file": [file], "bytes": [size]})
 
-    made = rows.join(first, "sha1").select("page_id", "url", "html", "sha1", "response").mapInArrow(write, "file string, bytes long").collect()
+    made = squeezed.join(first, "sha1").select("page_id", "url", "sha1", "data", "response").mapInArrow(write, "file string, bytes long").collect()
     return [r.asDict() for r in made if r["bytes"]]
 
 
