@@ -82,7 +82,10 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tu
     found = F.sort_array(F.transform(twice, lambda x: x["i"]))
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("reach"))
     step = lambda acc, i: F.struct((acc["total"] + i + WINDOW - F.greatest(i, acc["reach"])).alias("total"), (i + WINDOW).alias("reach"))
-    a = a.withColumn("n_repeat_words", F.aggregate(found, zero, step, lambda acc: acc["total"]).cast("long")).drop("sorted")
+    total = F.aggregate(found, zero, step, lambda acc: acc["total"]).cast("long")
+    # the condition always holds; as it isn't deterministic, no filter on the
+    # result moves below, where "sorted" would be made anew for each element
+    a = a.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, total)).drop("sorted")
     share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(F.lit(0.0))
     return a.select(
         "doc_id", "carried", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
