@@ -68,7 +68,7 @@ def write_archives(pages: DataFrame, folder: str) -> list[dict]:
         import pyarrow as pa
         import zstandard
 
-        small = zstandard.ZstdCompressor(level=1)
+        small = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             raw = batch.column(2).cast(pa.binary()).to_pylist()
             sha1, data = [hashlib.sha1(x).hexdigest() for x in raw], [small.compress(x) for x in raw]
