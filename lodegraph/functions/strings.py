@@ -110,7 +110,7 @@ def join(xs: Val, sep: Val | None = None) -> Val:
     gap = F.lit("") if sep is None else sep.col
     strings = xs.col.cast("array<string>")
     bad = F.exists(strings, lambda x: x.isNull())
-    return Val(F.when(bad, F.raise_error(F.lit("string.join(): an element is not a string")).cast("string")).otherwise(F.array_join(strings, gap)), T.STR)
+    return Val(F.when(bad, F.raise_error(F.lit("string.join(): an element is not a string")).cast("string")).otherwise(F.call_function("array_join", strings, gap)), T.STR)
 
 
 def pattern(v: Val) -> str:
