@@ -23,20 +23,17 @@ def elements(v: Val, what: str):
 
 @register("head")
 def head(xs: Val) -> Val:
-    return NULLED if xs.type == T.NULL else Val(F.get(xs.col, F.lit(0)), elements(xs, "head()"))
+    return null() if xs.type == T.NULL else Val(F.get(xs.col, F.lit(0)), elements(xs, "head()"))
 
 
 @register("last")
 def last(xs: Val) -> Val:
-    return NULLED if xs.type == T.NULL else Val(F.try_element_at(xs.col, F.lit(-1)), elements(xs, "last()"))
+    return null() if xs.type == T.NULL else Val(F.try_element_at(xs.col, F.lit(-1)), elements(xs, "last()"))
 
 
 @register("tail")
 def tail(xs: Val) -> Val:
-    return NULLED if xs.type == T.NULL else Val(F.slice(xs.col, 2, F.greatest(F.size(xs.col), F.lit(1))), T.lst(elements(xs, "tail()")))
-
-
-NULLED = lit(None)
+    return null() if xs.type == T.NULL else Val(F.slice(xs.col, 2, F.greatest(F.size(xs.col), F.lit(1))), T.lst(elements(xs, "tail()")))
 
 
 @register("size", "length")
@@ -57,7 +54,7 @@ def size(x: Val) -> Val:
 
 @register("isEmpty")
 def is_empty(x: Val) -> Val:
-    return NULLED if x.type == T.NULL else Val(size(x).col == 0, T.BOOL)
+    return null() if x.type == T.NULL else Val(size(x).col == 0, T.BOOL)
 
 
 @register("range")
@@ -79,13 +76,13 @@ def range_(a: Val, b: Val, step: Val | None = None) -> Val:
 
 @register("list.dedup")
 def dedup(xs: Val) -> Val:
-    return NULLED if xs.type == T.NULL else Val(F.array_distinct(xs.col), xs.type)
+    return null() if xs.type == T.NULL else Val(F.array_distinct(xs.col), xs.type)
 
 
 @register("list.sort")
 def sort(xs: Val, ascending: Val | None = None) -> Val:
     if xs.type == T.NULL:
-        return NULLED
+        return null()
     elements(xs, "list.sort()")
     if ascending is None:
         return Val(F.sort_array(xs.col), xs.type)
@@ -100,7 +97,7 @@ def _at(i: Column, n: Column, last: int = 0) -> Column:
 @register("list.remove")
 def remove(xs: Val, i: Val, n: Val | None = None) -> Val:
     if xs.type == T.NULL:
-        return NULLED
+        return null()
     size_ = F.size(xs.col).cast("bigint")
     at, k = _at(i.col, size_), F.lit(1) if n is None else n.col
     fine = (at >= 0) & (at < size_) & (k > 0)
@@ -116,7 +113,7 @@ def _splice(xs: Column, at: Column, ys: Column) -> Column:
 @register("list.insert")
 def insert(xs: Val, i: Val, v: Val, dups: Val | None = None) -> Val:
     if xs.type == T.NULL:
-        return NULLED
+        return null()
     if v.type == T.NULL:
         return xs
     kind = T.lst(T.unify(elements(xs, "list.insert()"), v.type))
@@ -132,7 +129,7 @@ def insert(xs: Val, i: Val, v: Val, dups: Val | None = None) -> Val:
 @register("list.insertListElements")
 def insert_list(xs: Val, ys: Val, i: Val, dups: Val | None = None) -> Val:
     if xs.type == T.NULL:
-        return NULLED
+        return null()
     if ys.type == T.NULL:
         return xs
     kind = T.unify(xs.type, ys.type)

@@ -60,16 +60,22 @@ class PropertyGraph:
     _types: dict = field(default_factory=dict, compare=False)
 
     # catalog
-    def property_types(self, entity: str = "node") -> dict[str, object]:
-        """Type of every property key, over all tables."""
-        if entity not in self._types:
+    def property_types(self, entity: str = "node", tables: tuple[int, ...] | None = None) -> dict[str, object]:
+        """Type of every property key over the given tables (default: all). A
+        property whose kinds don't go together is read as text there."""
+        if (entity, tables) not in self._types:
             out: dict[str, object] = {}
-            for table in self.nodes if entity == "node" else self.edges:
-                for f in table.df.schema.fields:
+            every = self.nodes if entity == "node" else self.edges
+            for i in range(len(every)) if tables is None else tables:
+                for f in every[i].df.schema.fields:
                     if f.name not in _HEAD:
-                        out[f.name] = T.unify(out.get(f.name, T.NULL), T.of_spark(f.dataType))
-            self._types[entity] = out
-        return self._types[entity]
+                        t = T.of_spark(f.dataType)
+                        try:
+                            out[f.name] = T.unify(out.get(f.name, T.NULL), t)
+                        except T.TypeProblem:
+                            out[f.name] = T.STR
+            self._types[entity, tables] = out
+        return self._types[entity, tables]
 
     def table_properties(self, entity: str, ordinal: int) -> list[str]:
         return [c for c in (self.nodes if entity == "node" else self.edges)[ordinal].df.columns if c not in _HEAD]
@@ -102,10 +108,10 @@ class PropertyGraph:
     # frames
     def node_frame(self, tables: tuple[int, ...], keys: list[str]) -> DataFrame:
         """``id`` and the given properties of all nodes in the tables."""
-        return self._union([self.nodes[i].df for i in tables], keys, self.property_types("node"), ["id"])
+        return self._union([self.nodes[i].df for i in tables], keys, self.property_types("node", tables), ["id"])
 
     def edge_frame(self, tables: tuple[int, ...], keys: list[str]) -> DataFrame:
-        return self._union([self.edges[i].df for i in tables], keys, self.property_types("edge"), ["id", "src", "dst"])
+        return self._union([self.edges[i].df for i in tables], keys, self.property_types("edge", tables), ["id", "src", "dst"])
 
     def _union(self, frames: list[DataFrame], keys: list[str], types: dict, head: list[str]) -> DataFrame:
         out = None

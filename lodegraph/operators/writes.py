@@ -132,7 +132,7 @@ class Writer:
         name, key = self.key_of(p)
         v = exprs(dict(p.props)[key])
         tables = self.graph.node_tables(lambda labels: name in labels)
-        kind = self.graph.property_types("node").get(key, v.type)
+        kind = self.graph.property_types("node", tables).get(key, v.type)
         if v.type != kind and not (T.numeric(v.type) and T.numeric(kind)):
             raise WriteProblem(f"the key {key} is of another type")
         ops = ops.withColumn(f"{into}_key", T.convert(v.col, v.type, kind) if v.type != kind else v.col)

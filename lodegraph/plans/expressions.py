@@ -131,7 +131,7 @@ class Exprs:
         return Val(F.col(b.column), b.type)
 
     def _fields(self, entity: str, b) -> tuple:
-        types = self.graph.property_types(entity)
+        types = self.graph.property_types(entity, b.tables)
         return tuple((k, types[k]) for k in sorted(b.props))
 
     def whole(self, v: Val) -> Column:
@@ -172,7 +172,7 @@ class Exprs:
     def property(self, v: Val, key: str) -> Val:
         k = T.kind(v.type)
         if v.entity is not None:
-            types = self.graph.property_types("node" if k == "node" else "edge")
+            types = self.graph.property_types("node" if k == "node" else "edge", v.entity.tables)
             if key not in v.entity.props:
                 return null(types.get(key, T.NULL))
             return Val(F.col(v.entity.props[key]), types[key])

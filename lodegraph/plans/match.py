@@ -204,8 +204,9 @@ class Matcher:
                     continue
                 heads = ("id",) if isinstance(new, NodeB) else ("id", "src", "dst")
                 out += [F.col(getattr(o, h)).alias(getattr(new, h)) for h in heads]
-                types = self.graph.property_types("node" if isinstance(new, NodeB) else "edge")
-                out += [(F.col(o.props[k]) if k in o.props else F.lit(None).cast(T.ddl(types[k]))).alias(c) for k, c in new.props.items()]
+                entity = "node" if isinstance(new, NodeB) else "edge"
+                types, own = self.graph.property_types(entity, new.tables), self.graph.property_types(entity, o.tables)
+                out += [(T.convert(F.col(o.props[k]), own[k], types[k]) if k in o.props else F.lit(None).cast(T.ddl(types[k]))).alias(c) for k, c in new.props.items()]
             kept = [c for c in p.df.columns if c in self._carried(first)]
             frames.append(p.df.select(*kept, *out))
         return Rows(reduce(DataFrame.unionAll, frames), {n: new for n, (new, _) in scope.items()})

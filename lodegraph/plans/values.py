@@ -89,8 +89,5 @@ def mapped(items: list[tuple[str, Val]], value=None) -> Val:
     return Val(F.struct(*(v.col.alias(k) for k, v in fields.items())), ("map", tuple((k, v.type) for k, v in fields.items())), literal=value is not None, value=value)
 
 
-NULL = lit(None)
-
-
 def null(t=T.NULL) -> Val:
     return Val(F.lit(None).cast(T.ddl(t)) if t != T.NULL else F.lit(None), t)

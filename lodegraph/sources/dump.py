@@ -114,7 +114,7 @@ def facts(statement: str, pk: str | None) -> list[tuple]:
             out.append(("node", ident, None, None, None, labels, {k: encode(v) for k, v in props.items()}, False, None))
     inline = {k: constant(v) for k, v in w.rel.props}
     more, _ = patches(w.rel.var)
-    ident = encode(sorted(inline.items())) if inline and w.mode != "create" else None
+    ident = encode(sorted(inline.items())) if inline and w.merges else None if pk is not None and not w.merges else ""
     out.append(("edge", *ends, _names(w.rel.types)[0], ident, [], {k: encode(v) for k, v in (inline | more).items()}, w.mode == "match", None))
     return out
 
@@ -228,9 +228,9 @@ def _assembled(spark: SparkSession, said: DataFrame, indexes: tuple[Index, ...],
         part = stored(nodes.where(F.col("set") == name).repartitionByRange("a").sortWithinPartitions("a"), "dump-table")
         part = numbered(spark, part).withColumn("id", F.lit(i << SHIFT) + F.col("__n"))
         types = kinds.get(name, {})
-        cols = [_typed(F.col("props")[k], t).alias(k) for k, t in sorted(types.items()) if t != T.NULL]
+        cols = [_typed(F.col("props")[k], t).alias(k) for k, t in sorted(types.items()) if t != T.NULL and k != pk]
         if pk is not None:
-            cols.append(F.get_json_object("a", "$[1]").alias(pk)) if pk not in types else None
+            cols.append(F.get_json_object("a", "$[1]").alias(pk))
         own = tuple(name.split(":")) if name else ()
         table = stored(part.select("id", *cols), "nodes")
         tables.append(NodeTable(own, table, next((keys[x] for x in own if x in keys), None)))
@@ -242,7 +242,7 @@ def _assembled(spark: SparkSession, said: DataFrame, indexes: tuple[Index, ...],
         ids = stored(ids, "dump-ids")
         by = ["name", "a", "b", "one"]
         # plain CREATE makes a relationship each time; others fold by their ends and naming property
-        single = F.when(F.col("ident").isNull() & F.lit(pk is not None), F.to_json("ordinal")).otherwise(F.coalesce("ident", F.lit("")))
+        single = F.coalesce("ident", F.to_json("ordinal"))
         marked = said_edges.withColumn("one", single)
         bare = marked.groupBy(*by).agg(F.bool_and("strict").alias("only"))
         if not bare.where("only").isEmpty():
