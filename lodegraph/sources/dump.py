@@ -8,6 +8,7 @@ property winning, by aggregates that combine before they shuffle.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,25 +32,61 @@ class DumpProblem(ValueError):
     pass
 
 
-def constant(e: A.Expr):
-    """The value of a statement's expression."""
+_PURE = {
+    "tolower": str.lower, "toupper": str.upper, "trim": str.strip, "reverse": lambda x: x[::-1], "size": len, "tofloat": float, "tointeger": lambda x: int(float(x)) if not isinstance(x, str) else int(x),
+    "tostring": lambda x: str(x).lower() if isinstance(x, bool) else str(int(x)) if isinstance(x, float) and x.is_integer() else str(x), "abs": lambda x: float(abs(x)), "head": lambda x: x[0] if x else None, "last": lambda x: x[-1] if x else None,
+}
+
+
+def constant(e: A.Expr, known: dict | None = None):
+    """The value of a statement's expression. It may read what the statement
+    itself says of the node or relationship, in ``known``; nulls spread."""
+    value = lambda x: constant(x, known)
     if isinstance(e, A.Lit):
         return e.value
+    if isinstance(e, A.Prop) and isinstance(e.base, A.Var) and known is not None:
+        if e.key not in known:
+            raise DumpProblem(f"the statement does not say what {e.key} is")
+        return known[e.key]
     if isinstance(e, A.ListLit):
-        return [constant(x) for x in e.items]
-    if isinstance(e, A.Un) and e.op == "-":
-        return -constant(e.x)
-    if isinstance(e, A.Call) and e.name.lower() == "vecf32":
-        return {"vec": [float(constant(x)) for x in e.args[0].items]}
-    if isinstance(e, A.Bin) and e.op in "+-*/%":
-        a, b = constant(e.a), constant(e.b)
-        if e.op == "+":
-            return a + b
-        return {"-": lambda: a - b, "*": lambda: a * b, "/": lambda: a // b if isinstance(a, int) and isinstance(b, int) else a / b, "%": lambda: a % b}[e.op]()
-    if isinstance(e, A.Call) and e.name.lower() in ("tolower", "toupper") and e.args:
-        s = constant(e.args[0])
-        return s.lower() if e.name.lower() == "tolower" else s.upper()
-    raise DumpProblem("a dump's values are constants")
+        return [value(x) for x in e.items]
+    if isinstance(e, A.Un):
+        x = value(e.x)
+        return None if x is None else not x if e.op == "NOT" else -x
+    if isinstance(e, A.IsNull):
+        return (value(e.x) is None) != e.negated
+    if isinstance(e, A.Case):
+        for test, then in e.whens:
+            hit = value(test) if e.subject is None else value(e.subject) is not None and value(e.subject) == value(test)
+            if hit is True:
+                return value(then)
+        return None if e.other is None else value(e.other)
+    if isinstance(e, A.Call):
+        name = e.name.lower()
+        if name == "vecf32":
+            return {"vec": [float(x) for x in value(e.args[0])]}
+        if name == "coalesce":
+            return next((x for x in map(value, e.args) if x is not None), None)
+        if name in _PURE and len(e.args) == 1:
+            x = value(e.args[0])
+            return None if x is None else _PURE[name](x)
+    if isinstance(e, A.Bin):
+        a, b = value(e.a), value(e.b)
+        if e.op == "AND":
+            return False if a is False or b is False else None if None in (a, b) else True
+        if e.op == "OR":
+            return True if a is True or b is True else None if None in (a, b) else False
+        if a is None or b is None:
+            return None
+        ints = isinstance(a, int) and isinstance(b, int)
+        made = {
+            "+": lambda: _PURE["tostring"](a) + _PURE["tostring"](b) if isinstance(a, str) or isinstance(b, str) else a + b, "-": lambda: a - b, "*": lambda: a * b,
+            "/": lambda: (abs(a) // abs(b)) * (1 if (a < 0) == (b < 0) else -1) if ints else a / b, "%": lambda: int(math.fmod(a, b)) if ints else math.fmod(a, b), "=": lambda: a == b, "<>": lambda: a != b,
+            "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b, "IN": lambda: a in b, "CONTAINS": lambda: b in a, "STARTS": lambda: a.startswith(b), "ENDS": lambda: a.endswith(b),
+        }
+        if e.op in made:
+            return made[e.op]()
+    raise DumpProblem("a dump's values are constants, or follow from the statement")
 
 
 def _names(e: A.LabelExpr | None) -> list[str]:
@@ -83,15 +120,15 @@ def facts(statement: str, pk: str | None) -> list[tuple]:
         key = next(iter(props))
         return encode([labels[0], key, props[key]]), props, labels
 
-    def patches(var: str | None) -> tuple[dict, list[str]]:
+    def patches(var: str | None, known: dict) -> tuple[dict, list[str]]:
         props, labels = {}, []
         for s in [*w.on_create, *w.on_match, *w.sets]:
             if s.var != var:
                 continue
             if s.kind == "prop":
-                props[s.key] = constant(s.value)
+                props[s.key] = constant(s.value, known | props)
             elif s.kind in ("merge", "replace") and isinstance(s.value, A.MapLit):
-                props |= {k: constant(v) for k, v in s.value.items}
+                props |= {k: constant(v, known | props) for k, v in s.value.items}
             elif s.kind == "label":
                 labels.append(s.key)
             elif s.kind == "unset":
@@ -102,7 +139,7 @@ def facts(statement: str, pk: str | None) -> list[tuple]:
     whole = w.mode in ("merge", "create")
     if w.rel is None:
         ident, props, labels = identity(w.nodes[0])
-        more, added = patches(w.nodes[0].var)
+        more, added = patches(w.nodes[0].var, props)
         out.append(("node", ident, None, None, None, labels + added, {k: encode(v) for k, v in (props | more).items()}, not whole, None))
         return out
     a, b = w.nodes if w.rel.direction == "out" else w.nodes[::-1]
@@ -113,7 +150,7 @@ def facts(statement: str, pk: str | None) -> list[tuple]:
         if whole and pk is None:
             out.append(("node", ident, None, None, None, labels, {k: encode(v) for k, v in props.items()}, False, None))
     inline = {k: constant(v) for k, v in w.rel.props}
-    more, _ = patches(w.rel.var)
+    more, _ = patches(w.rel.var, inline)
     ident = encode(sorted(inline.items())) if inline and w.merges else None if pk is not None and not w.merges else ""
     out.append(("edge", *ends, _names(w.rel.types)[0], ident, [], {k: encode(v) for k, v in (inline | more).items()}, w.mode == "match", None))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import SHIFT, EdgeTable, Index, NodeTable, PropertyGraph
@@ -49,6 +49,21 @@ def from_tables(spark: SparkSession, nodes: list[NodeMap], edges: list[EdgeMap],
     return PropertyGraph(spark, made, linked, indexes)
 
 
+def successors(df: DataFrame, group: str, part: Column, order: list[str], item: str) -> DataFrame:
+    """``item, next_id``: what follows each item of its group in order.
+
+    ``part`` grows with the order and splits groups, so that no task holds all
+    of a large one: items are sorted within parts, and the last of a part is
+    followed by the first of the group's next part.
+    """
+    split = df.withColumn("__part", part)
+    inside = split.withColumn("next_id", F.lead(item).over(Window.partitionBy(group, "__part").orderBy(*order)))
+    firsts = split.groupBy(group, "__part").agg(F.min_by(item, F.struct(*order)).alias("__first"))
+    after = firsts.select(group, "__part", F.lead("__first").over(Window.partitionBy(group).orderBy("__part")).alias("__next"))
+    joined = inside.join(after, [group, "__part"])
+    return joined.select(item, F.coalesce("next_id", "__next").alias("next_id")).where("next_id is not null")
+
+
 def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
     """The graph over the driver's tables."""
     table = lambda name: lambda: spark.read.parquet(f"{folder}/{name}.parquet")
@@ -62,8 +77,7 @@ def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
         return t["lineitem"]().select("l_partkey", "l_suppkey").distinct()
 
     def following():
-        order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        return t["events"]().select("event_id", F.lead("event_id").over(order).alias("next_id")).where("next_id is not null")
+        return successors(t["events"]().select("user_id", "ts", "event_id"), "user_id", F.to_date("ts"), ["ts", "event_id"], "event_id")
 
     def messages():
         return t["conversations"]()

@@ -50,7 +50,7 @@ CREATE VECTOR INDEX FOR (n:P) ON (n.v) OPTIONS {dimension: 2, metric: 'euclidean
 CREATE FULLTEXT INDEX FOR (n:P) ON EACH [n.name];
 MERGE (n:P {k: 'a'}) SET n.name = 'it\\'s; fine', n.age = 1, n.v = vecf32([1, 2]);
 MERGE (n:P {k: 'b'}) SET n.age = 2.5, n.tags = ['x', 'y'];
-MERGE (n:P {k: 'a'}) SET n.age = 3;
+MERGE (n:P {k: 'a'}) SET n.age = 3, n.size = CASE WHEN n.age > 2 THEN 'big' ELSE 'small' END, n.twice = n.age * 2;
 MERGE (n:Q {k: 7}) SET n:Extra;
 MERGE (a:P {k: 'a'})-[r:R]->(b:P {k: 'b'}) SET r.w = 1;
 MERGE (a:P {k: 'a'})-[r:R]->(b:P {k: 'b'}) SET r.w = 2;
@@ -65,6 +65,7 @@ def test_dump(spark, tmp_path):
     assert rows(e, "MATCH (p:P) RETURN p.k AS k, p.name AS n, p.age AS a, p.tags AS t") == [("a", "it's; fine", 3.0, None), ("b", None, 2.5, ["x", "y"])]
     assert rows(e, "MATCH (a)-[r:R|S]->(b) RETURN type(r) AS t, r.w AS w") == [("R", 2), ("S", None)]
     assert rows(e, "MATCH (q:Extra) RETURN labels(q) AS l, q.k AS k") == [(["Extra", "Q"], 7)]
+    assert rows(e, "MATCH (p:P {k: 'a'}) RETURN p.size AS s, p.twice AS t") == [("big", 6)]
     assert {(x.kind, x.label) for x in g.indexes} == {("range", "P"), ("vector", "P"), ("fulltext", "P")}
 
 
