@@ -1,7 +1,7 @@
 """License scans by conditional compression (operator 10).
 
-Lines with a licence cue open candidate blocks: the line, and for long
-templates the words from there on. Each block is compressed by zstandard alone
+Licence cues open candidate blocks: the text around, and for long templates
+the words from the cue's line, a line before or its sentence on. Each block is compressed by zstandard alone
 and with each template as raw dictionary; templates are ranked by how much
 smaller the block gets. The best few are confirmed by exact wording: the
 template's words must be found in order in the block, with no word different
@@ -26,6 +26,8 @@ from .common import columns
 
 #: Templates of up to so many words must match word for word.
 SHORT = 40
+#: Characters around a cue that short templates are looked for in.
+AROUND = 200
 #: Templates that are compared word by word, of those that compress a block best.
 BEST = 4
 CUES = r"(?i)licen[sc]e|copyright|rights reserved|spdx|permission is hereby|permission to use|redistribution and use|public domain|creative commons|\bcc0|\bcc by"
@@ -126,38 +128,47 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         found: list[tuple[str, int, int]] = []
-        past = 0  # where words of long templates were looked for already
-        at = 0
-        for line in text.split("\n") if self._cue.search(text) else ():
-            if self._cue.search(line):
-                short = self._memo.get(line)
-                if short is None:
-                    short = self._line(line)
-                    if len(self._memo) > 20_000:
-                        self._memo.clear()
-                    if len(line) < 400:
-                        self._memo[line] = short
-                found += [(n, a + at, b + at) for n, a, b in short]
-                if at >= past:
-                    long = text[at : at + 16 * self._longest]
-                    hits = self.block(long, SHORT, 1 << 30) if len(long) > 8 * SHORT else []
-                    found += [(n, a + at, b + at) for n, a, b in hits]
-                    past = max([at, *(b + at for _, _, b in hits)])
-            at += len(line) + 1
+        short_past = long_past = 0  # where words of either kind were looked for already
+        for cue in self._cue.finditer(text):
+            at = cue.start()
+            if at >= short_past:
+                lo, short_past = max(0, at - AROUND), cue.end() + AROUND
+                found += [(n, a + lo, b + lo) for n, a, b in self._short(text[lo:short_past])]
+            if at >= long_past:
+                long_past = cue.end()
+                for start in self._starts(text, at):
+                    block = text[start : start + 16 * self._longest]
+                    hits = self.block(block, SHORT, 1 << 30) if len(block) > 4 * SHORT else []
+                    if hits:
+                        found += [(n, a + start, b + start) for n, a, b in hits]
+                        long_past = max(b + start for _, _, b in hits)
+                        break
         kept: list[tuple[str, int, int]] = []
         for hit in sorted(set(found), key=lambda h: (h[1] - h[2], h[1], h[0])):
             if all(hit[2] <= a or b <= hit[1] for _, a, b in kept):
                 kept.append(hit)
         return sorted(kept, key=lambda h: h[1:] + h[:1])
 
-    def _line(self, line: str) -> list[tuple[str, int, int]]:
-        """Short templates around each cue of a line, which may be long."""
-        out, past = [], 0
-        for cue in self._cue.finditer(line):
-            if cue.start() >= past:
-                lo, past = max(0, cue.start() - 200), cue.end() + 200
-                out += [(n, a + lo, b + lo) for n, a, b in self.block(line[lo:past], 0, SHORT)]
-        return out
+    @staticmethod
+    def _starts(text: str, at: int) -> list[int]:
+        """Where a long wording around a cue may begin: at its line, at one of
+        the two lines before, or at its sentence."""
+        out, line = [], text.rfind("\n", 0, at) + 1
+        for _ in range(3):
+            out.append(line)
+            if line == 0:
+                break
+            line = text.rfind("\n", 0, line - 1) + 1
+        sentence = text.rfind(". ", max(0, at - 2 * AROUND), at)
+        return list(dict.fromkeys(x for x in [*out, sentence + 2 if sentence >= 0 else at] if at - x <= 2 * AROUND))
+
+    def _short(self, window: str) -> list[tuple[str, int, int]]:
+        hits = self._memo.get(window)
+        if hits is None:
+            if len(self._memo) > 20_000:
+                self._memo.clear()
+            hits = self._memo[window] = self.block(window, 0, SHORT)
+        return hits
 
 
 _OPEN: list[Scanner] = []

@@ -230,7 +230,7 @@ def test_licenses(spark, edge, empty):
     cases = {
         0: ("Some code. SPDX-License-Identifier: MIT\nmore", "MIT"), 1: ("x\n" + mit.replace("Software", "SOFTWARE", 1) + "\ny", "MIT"), 2: (apache.replace("  ", " ").upper(), "Apache-2.0"),
         3: ("we licensed our land to the village", ""), 4: ("All rights reserved.", "Proprietary"), 5: ("licensed under the GNU General Public License, version 3 or so", "GPL-3.0"),
-        6: ("released under the MIT License and licensed under CC BY-NC 4.0", "CC-BY-NC-4.0,MIT"), 7: (None, ""), 8: ("", ""), 9: ("y " * 100_000 + "SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        6: ("released under the MIT License and licensed under CC BY-NC 4.0", "CC-BY-NC-4.0,MIT"), 7: (None, ""), 8: ("", ""), 10: ("see\nlicensed under the Apache\nLicense, Version 2.0 here", "Apache-2.0"), 11: ("head\n" + apache.replace(" writing, ", " writing,\n").replace("OF ANY", "OF\nANY"), "Apache-2.0"), 9: ("y " * 100_000 + "SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
     }
     frame = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.scan(frame).collect()}
