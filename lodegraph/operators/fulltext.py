@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Index, PropertyGraph
 from ..plans import types as T
+from ..storage import checkpointed, spread
 
 K1, B, MAX_HITS = 1.2, 0.75, 10_000
 #: The ASCII separators of the analyzer (white space apart).
@@ -18,8 +19,10 @@ _SPLIT = r"[\s\x85\p{Z}" + re.sub(r"([^\w])", r"\\\1", SEPARATORS) + "]+"
 
 def terms(text: Column, stopwords: tuple[str, ...]) -> Column:
     """Lower-case terms of a text, without stop words and empty ones."""
-    out = F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
-    return F.filter(out, lambda t: ~t.isin(list(stopwords))) if stopwords else out
+    out = F.split(F.lower(text), _SPLIT)
+    for word in ("", *stopwords):  # in generated code, unlike filters by lambda
+        out = F.array_remove(out, word)
+    return out
 
 
 def analysed(text: str, stopwords: tuple[str, ...] = ()) -> list[str]:
@@ -88,7 +91,7 @@ def search(graph: PropertyGraph, index: Index, query: str, max_hits: int = MAX_H
         return graph.spark.createDataFrame([], schema)
     frame, fields = postings(graph, index)
     text = [terms(F.col(f"`{f}`").cast("string"), index.stopwords) for f in fields]
-    every = F.flatten(F.filter(F.array(*text), lambda x: x.isNotNull()))
+    every = F.concat(*(F.coalesce(t, F.array().cast("array<string>")) for t in text))
     keep = F.lit(True)
     for field, values in filters:
         any_value = F.lit(False)
@@ -99,10 +102,10 @@ def search(graph: PropertyGraph, index: Index, query: str, max_hits: int = MAX_H
                 has = has & F.coalesce(F.array_contains(terms(F.col(f"`{field}`").cast("string"), index.stopwords), t), F.lit(False))
             any_value = any_value | has
         keep = keep & any_value
-    docs = frame.select("id", every.alias("t"), keep.alias("keep")).where(F.size("t") > 0)
-    same = lambda t: lambda x: x == t
-    tf = [F.size(F.filter("t", same(t))) for t in wanted]
+    docs = spread(frame).select("id", every.alias("t"), keep.alias("keep")).where(F.size("t") > 0)
+    tf = [F.size("t") - F.size(F.array_remove("t", t)) for t in wanted]
     docs = docs.select("id", "keep", F.size("t").alias("n"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
+    docs = checkpointed(docs)  # a few numbers a document; texts are analysed once
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     hit = F.lit(False)
     for i in range(len(wanted)):

@@ -1,15 +1,22 @@
-"""Exact k nearest neighbours over a vector property."""
+"""Exact k nearest neighbours over a vector property.
+
+One vector is a scan with built-in expressions and a top-k. Many vectors meet
+the indexed ones block by block: higher-order functions are interpreted element
+by element in Spark, so each pair of blocks is one matrix product in NumPy on
+Arrow batches instead, and only the k best of a block go on.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..model import Index, PropertyGraph
 
-#: Rows of a block of vectors, whose best k alone go on.
-BLOCKS = 64
+#: Rows of a block of vectors or of queries, and scores in memory at a time.
+BLOCK_ROWS, QUERY_ROWS, SCORES = 1 << 16, 1 << 13, 1 << 23
 
 
 def vectors(graph: PropertyGraph, index: Index) -> DataFrame:
@@ -32,13 +39,55 @@ def nearest_one(graph: PropertyGraph, index: Index, k: int, q: Column) -> DataFr
     return vectors(graph, index).select("id", score.alias("score")).orderBy("score", "id").limit(k)
 
 
+def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distance of every query to every vector, in double precision."""
+    products = q @ x.T
+    if metric == "dot":
+        return -products
+    if metric == "cosine":
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+        return 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms != 0)
+    return np.stack([((x - one) ** 2).sum(1) for one in q]) if len(q) else products
+
+
 def nearest_each(graph: PropertyGraph, index: Index, k: int, queries: DataFrame) -> DataFrame:
-    """For each of ``queries(q)``, distinct vectors: every query meets every
-    block of vectors, keeps its k best of the block, and then of all blocks."""
-    blocks = vectors(graph, index).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)))
-    asked = queries.select("q", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).withColumn("b", F.col("b").cast("bigint"))
-    score = METRICS[index.metric.lower()](F.col("v"), checked(F.col("q"), index.dimension))
-    scored = asked.join(blocks, "b").select("q", "b", "id", score.alias("score"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("score", "id"))
-    some = scored.withColumn("r", best("q", "b")).where(F.col("r") <= k)
-    return some.withColumn("r", best("q")).where(F.col("r") <= k).select("q", "id", "score")
+    """``q, id, score`` for each of ``queries(q)``, distinct vectors: every block
+    of queries meets every block of vectors, and its best are ranked again."""
+    metric = index.metric.lower()
+    rows, wanted = vectors(graph, index), queries.select("q", F.xxhash64("q").alias("h"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(queries.agg(F.count(F.lit(1)).alias("m"))).first()  # one row each
+    spread = graph.spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-counts["n"] // BLOCK_ROWS), min(spread, counts["n"] // 256))
+    chunks = max(1, -(-counts["m"] // QUERY_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), every(chunks).alias("c"), "id", "v")
+    asked = wanted.select(every(blocks).alias("b"), F.pmod("h", F.lit(chunks)).cast("int").alias("c"), checked(F.col("q"), index.dimension).alias("q"))
+
+    def search(left, right):
+        import pyarrow as pa
+
+        schema = pa.schema([("q", pa.list_(pa.float32())), ("id", pa.int64()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows or not k:
+            return schema.empty_table()
+        table = lambda c: np.stack([np.asarray(v, np.float64) for v in c.to_pylist()])
+        ids, x, q = left.column("id").to_numpy(), table(left.column("v")), table(right.column("q"))
+        if q.shape[1] != x.shape[1]:
+            raise ValueError(f"the vectors have {x.shape[1]} dimensions, the query {q.shape[1]}")
+        order = np.argsort(ids, kind="stable")  # of equal distances the smaller id comes first
+        ids, x = ids[order], x[order]
+        at, found, scores = [], [], []
+        step = max(1, SCORES // len(x))
+        for lo in range(0, len(q), step):
+            d = distances(metric, q[lo : lo + step], x)
+            for i, row in enumerate(d):
+                some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+                best = some[np.argsort(row[some], kind="stable")[:k]]
+                at.append(np.full(len(best), lo + i))
+                found.append(ids[best])
+                scores.append(row[best])
+        asked_for = right.column("q").take(pa.array(np.concatenate(at)))
+        return pa.table([asked_for.combine_chunks().cast(schema.field("q").type), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], schema=schema)
+
+    found = dealt.groupBy("b", "c").cogroup(asked.groupBy("b", "c")).applyInArrow(search, "q array<float>, id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).select("q", "id", "score")

@@ -432,13 +432,14 @@ class Matcher:
         further, so levels hold no more rows than there are pairs."""
         level = ids.select("s", F.col("s").alias("z"))
         seen = level if low == 0 else level.where(F.lit(False))
-        pairs = steps.select(F.col("a"), F.col("z").alias("y")).distinct()
+        pairs = checkpointed(steps.select(F.col("a"), F.col("z").alias("y")).distinct()) if high > 1 else steps.select(F.col("a"), F.col("z").alias("y"))
         for k in range(1, high + 1):
             nxt = level.join(pairs, F.col("z") == F.col("a")).select("s", F.col("y").alias("z")).distinct()
             level = nxt.join(seen, ["s", "z"], "left_anti") if k > 1 or low == 0 else nxt
-            level = self._level(level, high)
-            if high > LAZY_LEVELS and level.isEmpty():
-                break
+            if high > 1:  # each level is read by all that follow
+                level = checkpointed(level)
+                if level.isEmpty():
+                    break
             seen = seen.unionAll(level) if k > 1 or low == 0 else level
         return seen
 

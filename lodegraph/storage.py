@@ -26,6 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that gives costly work to few tasks (a small table in one file),
+    dealt to all; larger ones stay as they are."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Written to the shared folder and read again."""
     path = f"{shared_root(df.sparkSession)}/lodegraph-{what}-{uuid.uuid4().hex}"
