@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import columns
 
-PIVOTS, SHARE, LEAST = 128, 0.06, 128
+PIVOTS, SHARE, LEAST = 128, 0.25, 128
 #: Rows of a block, and queries that meet one at a time.
 BLOCK_ROWS, CHUNK_QUERIES = 1 << 17, 1 << 16
 OUT = "query_id long, vec_id long, score double"

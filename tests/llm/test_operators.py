@@ -201,6 +201,20 @@ def test_nearest(spark):
     assert ann.search_every(spark, frame.where("false")).count() == 0
 
 
+def test_nearest_without_clusters():
+    """Vectors without neighbourhoods, in one block so large that the share, not
+    the least count, decides what is compared: the hard case for pivots."""
+    x = np.random.default_rng(11).normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(len(x))
+    want = brute.nearest(list(zip(ids.tolist(), x)), step=100)
+    asked = ids[::100]
+    pivots = x[np.random.default_rng(12).choice(len(x), ann.PIVOTS, replace=False)]
+    q, v, _ = ann.search_block(ids, x, asked, x[asked], pivots, 10, ann.SHARE, ann.LEAST)
+    hits = sum(len(set(v[q == a].tolist()) & {i for i, _ in want[a]}) for a in asked.tolist())
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 # 9
 def test_classifier(spark, edge, empty):
     sf = "/root/testdata/sf0.01"
