@@ -22,9 +22,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier calls good."""
-    docs = columns(docs, *COLUMNS)
-    return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents that the compression classifier calls good. It is fitted on all
+    labelled documents, as the rules leave few of the bad ones."""
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_good(columns(docs, *COLUMNS), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

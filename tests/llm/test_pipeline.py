@@ -52,3 +52,12 @@ def test_edges(spark, edge, empty):
                 rows = stage(spark, rows, SF)
             rows = spark.createDataFrame(rows.collect(), rows.schema)
         assert rows.count() >= 0
+
+
+def test_classifier_judges_what_rules_keep(spark):
+    """The rules leave one labelled bad document at sf0.01, too few to fit on."""
+    sf = "/root/testdata/sf0.01"
+    docs = pipeline.rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    bad = {r.doc_id for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0"), "doc_id").collect()}
+    kept = {r.doc_id for r in pipeline.classifier(spark, docs, sf).collect()}
+    assert bad and kept and not bad & kept
