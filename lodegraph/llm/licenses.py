@@ -1,12 +1,13 @@
 """License scans by conditional compression (operator 10).
 
 Licence cues open candidate blocks: the text around, and for long templates
-the words from the cue's line, a line before or its sentence on. Each block is compressed by zstandard alone
-and with each template as raw dictionary; templates are ranked by how much
-smaller the block gets. The best few are confirmed by exact wording: the
-template's words must be found in order in the block, with no word different
-for a template of up to ``SHORT`` words and at most one in twenty for a longer
-one. Of templates confirmed at overlapping places the longest stays.
+the words from the cue's line, a line before or its sentence on. Every template
+is confirmed by exact wording: its words must be found in order in the block,
+with no word different for a template of up to ``SHORT`` words and at most one
+in twenty for a longer one. Of templates confirmed at overlapping places the
+longest stays; of long ones at the same place the one with the fewest words
+different, then the one that as zstandard's raw dictionary makes the block
+smallest.
 
 Defined results: null text counts as empty and has no licences; offsets are in
 code points, ends exclusive; repeated rows are read alike; an empty table gives
@@ -28,10 +29,10 @@ from .common import columns
 SHORT = 40
 #: Characters around a cue that short templates are looked for in.
 AROUND = 200
-#: Templates that are compared word by word, of those that compress a block best.
-BEST = 4
 CUES = r"(?i)licen[sc]e|copyright|rights reserved|spdx|permission is hereby|permission to use|redistribution and use|public domain|creative commons|\bcc0|\bcc by"
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+#: Licence, start, end and rank (words different, compressed bytes) of a wording.
+Hit = tuple[str, int, int, tuple[int, int]]
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
@@ -89,19 +90,19 @@ class Scanner:
                 words = [w for w, _, _ in words_of(t)]
                 known = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.entries.append((name, words, zstandard.ZstdCompressor(dict_data=known, **options)))
-        self._alone = zstandard.ZstdCompressor(**options)
         self._longest = max(len(words) for _, words, _ in self.entries)
         self._cue = re.compile(CUES)
         self._memo: dict[str, list] = {}
 
     @staticmethod
-    def confirm(words: list[str], block: list[str]) -> tuple[int, int] | None:
-        """First and last block word of the template's wording, or None."""
+    def confirm(words: list[str], block: list[str]) -> tuple[int, int, int] | None:
+        """First and last block word of the template's wording and how many
+        words differ, or None."""
         n = len(words)
         if n <= SHORT:
             for i in range(len(block) - n + 1):
                 if block[i] == words[0] and block[i : i + n] == words:
-                    return i, i + n - 1
+                    return i, i + n - 1, 0
             return None
         match = SequenceMatcher(None, words, block, autojunk=False)
         parts = [m for m in match.get_matching_blocks() if m.size]
@@ -109,44 +110,42 @@ class Scanner:
         if not parts or n - same > n // 20:
             return None
         first, last = parts[0].b, parts[-1].b + parts[-1].size - 1
-        return (first, last) if last - first + 1 - same <= n // 20 else None
+        more = last - first + 1 - same
+        return (first, last, n - same + more) if more <= n // 20 else None
 
-    def block(self, text: str, least: int, most: int) -> list[tuple[str, int, int]]:
-        """Confirmed ``(licence, start, end)`` of one block, by templates of
-        more than ``least`` and at most ``most`` words."""
+    def block(self, text: str, least: int, most: int) -> list[Hit]:
+        """What is confirmed of one block, by templates of more than ``least``
+        and at most ``most`` words."""
         found = words_of(text)
         block = [w for w, _, _ in found]
-        data = " ".join(block).encode()
-        alone = len(self._alone.compress(data))
-        ranked = sorted(((alone - len(c.compress(data))) / (1 + len(words)) ** 0.5, i) for i, (_, words, c) in enumerate(self.entries) if least < len(words) <= most)
         out = []
-        for gain, i in reversed(ranked[-BEST:] if most > SHORT else ranked[-2 * BEST :]):
-            name, words, _ = self.entries[i]
-            if gain > 0 and (at := self.confirm(words, block)):
-                out.append((name, found[at[0]][1], found[at[1]][2]))
+        for name, words, known in self.entries:
+            if least < len(words) <= most and (at := self.confirm(words, block)):
+                size = len(known.compress(" ".join(block).encode())) if len(words) > SHORT else 0
+                out.append((name, found[at[0]][1], found[at[1]][2], (at[2], size)))
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
-        found: list[tuple[str, int, int]] = []
+        found: list[Hit] = []
         short_past = long_past = 0  # where words of either kind were looked for already
         for cue in self._cue.finditer(text):
             at = cue.start()
             if at >= short_past:
                 lo, short_past = max(0, at - AROUND), cue.end() + AROUND
-                found += [(n, a + lo, b + lo) for n, a, b in self._short(text[lo:short_past])]
+                found += [(n, a + lo, b + lo, rank) for n, a, b, rank in self._short(text[lo:short_past])]
             if at >= long_past:
                 long_past = cue.end()
                 for start in self._starts(text, at):
                     block = text[start : start + 16 * self._longest]
                     hits = self.block(block, SHORT, 1 << 30) if len(block) > 4 * SHORT else []
                     if hits:
-                        found += [(n, a + start, b + start) for n, a, b in hits]
-                        long_past = max(b + start for _, _, b in hits)
+                        found += [(n, a + start, b + start, rank) for n, a, b, rank in hits]
+                        long_past = max(b + start for _, _, b, _ in hits)
                         break
         kept: list[tuple[str, int, int]] = []
-        for hit in sorted(set(found), key=lambda h: (h[1] - h[2], h[1], h[0])):
+        for hit in sorted(set(found), key=lambda h: (h[1] - h[2], h[1], h[3], h[0])):
             if all(hit[2] <= a or b <= hit[1] for _, a, b in kept):
-                kept.append(hit)
+                kept.append(hit[:3])
         return sorted(kept, key=lambda h: h[1:] + h[:1])
 
     @staticmethod

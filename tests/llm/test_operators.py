@@ -254,3 +254,19 @@ def test_licenses(spark, edge, empty):
             name, a, b = span.rsplit(":", 2)
             assert 0 <= int(a) < int(b) <= len(cases[i][0])
     assert licenses.scan(edge).count() == len(ROWS) and licenses.scan(empty).count() == 0
+
+
+def test_licenses_of_one_block():
+    """Wordings that share most of their words, all near the first cue."""
+    scanner = licenses.Scanner()
+    short = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if len(t) < 60]
+    for seed in range(100):
+        some = [short[i] for i in np.random.default_rng(seed).choice(len(short), 3, replace=False)]
+        hits = scanner.scan("\nor\n".join(t for _, t in some))
+        assert [n for n, _, _ in hits] == [n for n, _ in some]
+
+
+@pytest.mark.parametrize("name", ["GPL-2.0", "GPL-3.0"])
+def test_licenses_nearest_wording(name):
+    text = licenses.TEMPLATES[name][2]
+    assert licenses.Scanner().scan(text) == [(name, 0, len(text) - 1)]
