@@ -1,7 +1,8 @@
 """License scans by conditional compression (operator 10).
 
-Licence cues open candidate blocks: the text around, and for long templates
-the words from the cue's line, a line before or its sentence on. Every template
+Licence cues open candidate blocks: the text around, as far as any short
+template that holds the cue can reach, blocks that meet being one; for long
+templates the words from the cue's line, a line before or its sentence on. Every template
 is confirmed by exact wording: its words must be found in order in the block,
 with no word different for a template of up to ``SHORT`` words and at most one
 in twenty for a longer one. Of templates confirmed at overlapping places the
@@ -27,9 +28,10 @@ from .common import columns
 
 #: Templates of up to so many words must match word for word.
 SHORT = 40
-#: Characters around a cue that short templates are looked for in.
+#: Half the characters before a cue within which long templates may begin.
 AROUND = 200
 CUES = r"(?i)licen[sc]e|copyright|rights reserved|spdx|permission is hereby|permission to use|redistribution and use|public domain|creative commons|\bcc0|\bcc by"
+_RUN = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 #: Licence, start, end and rank (words different, compressed bytes) of a wording.
 Hit = tuple[str, int, int, tuple[int, int]]
@@ -91,6 +93,9 @@ class Scanner:
                 known = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.entries.append((name, words, zstandard.ZstdCompressor(dict_data=known, **options)))
         self._longest = max(len(words) for _, words, _ in self.entries)
+        runs = 2 + max(len(_RUN.findall(" ".join(words))) for _, words, _ in self.entries if len(words) <= SHORT)
+        self._ahead = re.compile(rf"(?:[\W_]*+[^\W_]++){{0,{runs}}}+")  # past a cue: as many runs of letters and digits as a wording has
+        self._runs = runs
         self._cue = re.compile(CUES)
         self._memo: dict[str, list] = {}
 
@@ -127,12 +132,11 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         found: list[Hit] = []
-        short_past = long_past = 0  # where words of either kind were looked for already
+        for lo, hi in self._around(text):
+            found += [(n, a + lo, b + lo, rank) for n, a, b, rank in self._short(text[lo:hi])]
+        long_past = 0  # up to where long wordings were looked for already
         for cue in self._cue.finditer(text):
             at = cue.start()
-            if at >= short_past:
-                lo, short_past = max(0, at - AROUND), cue.end() + AROUND
-                found += [(n, a + lo, b + lo, rank) for n, a, b, rank in self._short(text[lo:short_past])]
             if at >= long_past:
                 long_past = cue.end()
                 for start in self._starts(text, at):
@@ -148,6 +152,23 @@ class Scanner:
                 kept.append(hit[:3])
         return sorted(kept, key=lambda h: h[1:] + h[:1])
 
+    def _around(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where short wordings may lie: about each cue, joined where they meet."""
+        lo = hi = -1
+        for cue in self._cue.finditer(text):
+            start, runs, inside = cue.start(), 0, False
+            while start > max(hi, 0) and runs < self._runs:
+                start -= 1
+                before, inside = inside, text[start].isalnum()
+                runs += before and not inside
+            if start > hi >= 0:
+                yield lo, hi
+            if start > hi:
+                lo = start
+            hi = max(hi, self._ahead.match(text, cue.end()).end())
+        if hi >= 0:
+            yield lo, hi
+
     @staticmethod
     def _starts(text: str, at: int) -> list[int]:
         """Where a long wording around a cue may begin: at its line, at one of

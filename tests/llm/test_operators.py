@@ -270,3 +270,14 @@ def test_licenses_of_one_block():
 def test_licenses_nearest_wording(name):
     text = licenses.TEMPLATES[name][2]
     assert licenses.Scanner().scan(text) == [(name, 0, len(text) - 1)]
+
+
+def test_licenses_past_the_first_cue():
+    """Wordings that go on where the text about an earlier cue ends."""
+    isc = licenses.TEMPLATES["ISC"][1]
+    for head in ("ISC License\n\nCopyright (c) 2020, Jane Doe\n\n", "Copyright (c) 2020, Jane Doe\n\n"):
+        for wording in (isc, isc.replace(" ", "\n *    ")):
+            assert [n for n, _, _ in licenses.Scanner().scan(head + wording)] == ["ISC"]
+    for n in range(150, 260):
+        text = "Copyright " + "x" * n + " SPDX-License-Identifier: Apache-2.0 x"
+        assert licenses.Scanner().scan(text) == [("Apache-2.0", n + 11, len(text) - 2)]
