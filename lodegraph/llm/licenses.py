@@ -3,7 +3,7 @@
 Licence cues open candidate blocks: the text around, as far as any short
 template that holds the cue can reach, blocks that meet being one; for long
 templates the words from the cue's line, a line before or its sentence on. Every template
-is confirmed by exact wording: its words must be found in order in the block,
+is confirmed by exact wording, wherever in the block it occurs: its words must be found in order in the block,
 with no word different for a template of up to ``SHORT`` words and at most one
 in twenty for a longer one. Of templates confirmed at overlapping places the
 longest stays; of long ones at the same place the one with the fewest words
@@ -100,34 +100,50 @@ class Scanner:
         self._memo: dict[str, list] = {}
 
     @staticmethod
-    def confirm(words: list[str], block: list[str]) -> tuple[int, int, int] | None:
-        """First and last block word of the template's wording and how many
-        words differ, or None."""
-        n = len(words)
+    def confirm(words: list[str], block: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+        """First and last block word of each occurrence of the template's
+        wording, none overlapping, and how many words differ. ``places`` has
+        where each word is in the block."""
+        n, out = len(words), []
         if n <= SHORT:
-            for i in range(len(block) - n + 1):
-                if block[i] == words[0] and block[i : i + n] == words:
-                    return i, i + n - 1, 0
-            return None
-        match = SequenceMatcher(None, words, block, autojunk=False)
-        parts = [m for m in match.get_matching_blocks() if m.size]
-        same = sum(m.size for m in parts)
-        if not parts or n - same > n // 20:
-            return None
-        first, last = parts[0].b, parts[-1].b + parts[-1].size - 1
-        more = last - first + 1 - same
-        return (first, last, n - same + more) if more <= n // 20 else None
+            for i in places.get(words[0], ()):
+                if (not out or i > out[-1][1]) and block[i : i + n] == words:
+                    out.append((i, i + n - 1, 0))
+            return out
+        # at most ``off`` words are missing and as many are between: of 2 * off + 1 parts one is there unbroken
+        off = n // 20
+        cuts = [n * k // (2 * off + 1) for k in range(2 * off + 2)]
+        begins = {i - lo for lo, hi in zip(cuts, cuts[1:]) for i in places.get(words[lo], ()) if block[i : i + hi - lo] == words[lo:hi]}
+        tried = set()
+        for begin in begins:
+            at = max(0, begin - off)
+            match = SequenceMatcher(None, words, block[at : begin + n + off], autojunk=False)
+            parts = [m for m in match.get_matching_blocks() if m.size]
+            same = sum(m.size for m in parts)
+            if not parts or n - same > off:
+                continue
+            first, last = parts[0].b, parts[-1].b + parts[-1].size - 1
+            more = last - first + 1 - same
+            if more <= off:
+                tried.add((n - same + more, first + at, last + at))
+        for different, first, last in sorted(tried):
+            if all(last < a or b < first for a, b, _ in out):
+                out.append((first, last, different))
+        return out
 
     def block(self, text: str, least: int, most: int) -> list[Hit]:
         """What is confirmed of one block, by templates of more than ``least``
         and at most ``most`` words."""
         found = words_of(text)
         block = [w for w, _, _ in found]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(block):
+            places.setdefault(w, []).append(i)
         out = []
         for name, words, known in self.entries:
-            if least < len(words) <= most and (at := self.confirm(words, block)):
+            if least < len(words) <= most and (hits := self.confirm(words, block, places)):
                 size = len(known.compress(" ".join(block).encode())) if len(words) > SHORT else 0
-                out.append((name, found[at[0]][1], found[at[1]][2], (at[2], size)))
+                out += [(name, found[a][1], found[b][2], (different, size)) for a, b, different in hits]
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
@@ -144,7 +160,7 @@ class Scanner:
                     hits = self.block(block, SHORT, 1 << 30) if len(block) > 4 * SHORT else []
                     if hits:
                         found += [(n, a + start, b + start, rank) for n, a, b, rank in hits]
-                        long_past = max(b + start for _, _, b, _ in hits)
+                        long_past = max(long_past, min(b + start for _, _, b, _ in hits))
                         break
         kept: list[tuple[str, int, int]] = []
         for hit in sorted(set(found), key=lambda h: (h[1] - h[2], h[1], h[3], h[0])):

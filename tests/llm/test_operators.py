@@ -281,3 +281,20 @@ def test_licenses_past_the_first_cue():
     for n in range(150, 260):
         text = "Copyright " + "x" * n + " SPDX-License-Identifier: Apache-2.0 x"
         assert licenses.Scanner().scan(text) == [("Apache-2.0", n + 11, len(text) - 2)]
+
+
+@pytest.mark.parametrize("apart", ["\n", "\n// file b\n"])
+def test_licenses_repeated(apart):
+    scanner = licenses.Scanner()
+    for name, wordings in licenses.TEMPLATES.items():
+        for t in wordings:
+            text = apart.join([t] * 5)
+            hits = scanner.scan(text)
+            assert [n for n, _, _ in hits] == [name] * 5 and all(text[a:b] == t.rstrip(".") for _, a, b in hits)
+
+
+def test_licenses_repeated_with_other_words():
+    """A long wording, too much of it changed, before one with a word changed."""
+    mit = licenses.TEMPLATES["MIT"][3]
+    text = mit.replace("copy", "xerox").replace("the", "das") + "\n" + mit.replace("granted", "given") + "\n" + mit
+    assert [(n, a) for n, a, _ in licenses.Scanner().scan(text)] == [("MIT", text.index("Permission is hereby given")), ("MIT", text.rindex("Permission"))]
