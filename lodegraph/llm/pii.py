@@ -36,9 +36,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_/+.~-]{16,512})")
+_SECRET = re.compile(r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_/+.~-]{16,}+)")
 _SSN = re.compile(r"[^0-9\n]{0,24}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
-_USER = re.compile(r"[^\s/?#@:<>\"']{1,256}:[^\s/?#@<>\"']{1,256}(?=@)")
+_USER = re.compile(r"[^\s/?#@:<>\"']++:[^\s/?#@<>\"']++(?=@)")
 _SECRET_CUES = ("token", "secret", "api_key", "api-key", "apikey", "password", "passwd", "access_key", "private_key")
 _SSN_CUES = ("ssn", "social security")
 

@@ -182,6 +182,12 @@ def test_pii_added_and_mask():
     assert pii.masked("mail a@b.co now") == "mail [EMAIL] now" and pii.masked("") == ""
 
 
+def test_pii_long_values():
+    key = "eyJhbGciOiJSUzI1NiJ9." + "aB3_" * 300
+    for cue, value, kind, rest in (("token=", key, "SECRET", ""), ("api_key: ", "k" * 600 + "7", "SECRET", " x"), ("https://", "u" * 300 + ":p", "CREDENTIAL", "@h"), ("https://", "u:" + "p" * 70_000, "CREDENTIAL", "@h")):
+        assert pii.masked(cue + value + rest) == f"{cue}[{kind}]{rest}"
+
+
 # 8
 def test_nearest(spark):
     rng = np.random.default_rng(5)
