@@ -12,8 +12,10 @@ whose crc32 modulo 3 is 1 are held out and never fitted on.
 
 Defined results: null text counts as empty; an empty text has both features
 zero; a document labelled twice counts by its lowest label; null labels don't
-count; with fewer than ``LEAST`` texts of a class every text scores the share
-of label 1 (0.5 without labels); repeated rows score alike; an empty table gives
+count; with fewer than ``LEAST`` texts of a class, or too little text to train
+on, the texts themselves are the dictionaries; with fewer than two of a class
+every text scores the share of label 1 (0.5 without labels), and ``keep_good``
+keeps every row; repeated rows score alike; an empty table gives
 no rows; a null doc_id is held in.
 """
 
@@ -98,15 +100,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by = {q: [bytes(r["t"]) for r in rows if r["quality"] == q and r["t"]] for q in (0, 1)}
     n0, n1 = len(by[0]), len(by[1])
     constant = Model(constant=(n1 + 1) / (n0 + n1 + 2))
-    if min(n0, n1) < LEAST:
+    if min(n0, n1) < 2:
         return constant
     halves = {q: (by[q][::2], by[q][1::2]) for q in by}
-    raw = []
-    for q in (1, 0):
-        try:
-            raw.append(zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, halves[q][0])) // 4)), halves[q][0]).as_bytes())
-        except zstandard.ZstdError:  # too little text for a dictionary
-            return constant
+    try:
+        if min(n0, n1) < LEAST:
+            raise zstandard.ZstdError("too few texts for a dictionary")
+        raw = [zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, halves[q][0])) // 4)), halves[q][0]).as_bytes() for q in (1, 0)]
+    except zstandard.ZstdError:  # too little text, then for both classes
+        raw = [b"\n".join(halves[q][0])[:DICTIONARY_BYTES] for q in (1, 0)]
     model = Model(*raw)
     x = Model.features(model.compressors(), halves[0][1] + halves[1][1])
     y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
@@ -131,16 +133,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model calls good, with all columns."""
+    """The rows of ``docs`` that the model calls good, with all columns; all
+    rows where no model could be fitted."""
+    if not model.weights:
+        return docs
     at = docs.columns.index(text)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        pair = model.compressors() if model.weights else None
+        pair = model.compressors()
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            s = model.scores(pair, texts) if pair else np.full(len(texts), model.constant)
-            yield batch.filter(pa.array(s >= 0.5))
+            yield batch.filter(pa.array(model.scores(pair, texts) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

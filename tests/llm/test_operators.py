@@ -243,6 +243,22 @@ def test_classifier(spark, edge, empty):
     assert {r.score for r in quality_classifier.score(edge, none).collect()} == {0.5}
 
 
+def test_classifier_of_few_labels(spark):
+    """10 labelled bad texts held in, too few to train dictionaries on."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    few = labels.where(~quality_classifier.held_out(F.col("doc_id")) & (F.col("quality") == 0)).orderBy("doc_id").limit(10)
+    model = quality_classifier.fit(docs, few.union(labels.where("quality = 1")))
+    rows = [(known[r.doc_id], r.predicted) for r in quality_classifier.score(docs, model).collect() if r.held_out and r.doc_id in known]
+    bad = [p for q, p in rows if q == 0]
+    assert bad.count(0) > len(bad) / 2 and sum(q == p for q, p in rows) > 0.9 * len(rows)
+    none = quality_classifier.fit(docs, labels.where("quality = 0"))
+    assert none.constant < 0.5 and quality_classifier.keep_good(docs, none).count() == docs.count()
+
+
 # 10
 def test_licenses(spark, edge, empty):
     mit = licenses.TEMPLATES["MIT"][3]
