@@ -34,7 +34,6 @@ from .common import columns, file_system, publish, work_folder
 RANGE_BYTES = 8 << 20
 _LEAD = b"\r\n\r\n"
 _START = re.compile(rb"(?:(?<=\r\n\r\n)|\A)WARC/1\.[01]\r\n")
-_HEADER_MOST = 1 << 16
 _URN = "urn:lodegraph:page:"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
@@ -111,10 +110,12 @@ class _Range:
         return self._file.read(max(0, min(n, self.size - at)))
 
     def header(self, at: int) -> tuple[dict[str, str], int] | None:
-        """Fields of the record header at an offset, and where its block begins."""
+        """Fields of the record header at an offset, and where its block begins.
+        Of two places where records could begin, the header of the first ends
+        before the second, so long ones are read on without a bound."""
         data, n = b"", 1 << 10
         while b"\r\n\r\n" not in data:
-            if n > _HEADER_MOST or len(data) == self.size - at:
+            if len(data) == self.size - at:
                 return None
             n *= 4
             data = self.read(at, n)

@@ -121,6 +121,15 @@ def test_warc_damage_and_empty(spark):
         warc.read_archives(spark, folder, [whole | {"bytes": len(data) - 30}], 4096).collect()
 
 
+def test_warc_long_header(spark):
+    rows = [(i, "http://a/" + "x" * n, "<p>x</p>") for i, n in enumerate((10, 400_000, 20, 1_100_000, 30))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = work_folder(spark, "test-warc")
+    files = warc.write_archives(pages, folder)
+    for step in (1 << 16, 8 << 20):
+        assert bag((r.page_id, r.url) for r in warc.read_archives(spark, folder, files, step).collect()) == bag(r[:2] for r in rows)
+
+
 # 5
 def test_bpe(spark, docs):
     t = brute.tokenizer(BYTE)
