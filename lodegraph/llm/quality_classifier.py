@@ -6,8 +6,8 @@ better-known size itself, both normalised by its length; a logistic curve
 fitted on other labelled texts than the dictionaries turns them into a score.
 
 Fitting reads a bounded sample: of each class the ``SAMPLE`` labelled documents
-whose ids hash lowest, the first ``SAMPLE_BYTES`` of each; half of them go to
-the dictionary, half to the curve. Scoring compresses every whole text. Ids
+whose ids hash lowest; half of them go to the dictionary, by the first
+``SAMPLE_BYTES`` of each, half to the curve, whole. Scoring compresses every whole text. Ids
 whose crc32 modulo 3 is 1 are held out and never fitted on.
 
 Defined results: null text counts as empty; an empty text has both features
@@ -94,8 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label in (0, 1):  # at most ``sample`` ids of each class
         some = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = some if ids is None else ids.union(some)
-    text = F.substring(F.col("text").cast("string").cast("binary"), 1, SAMPLE_BYTES)
-    texts = columns(docs, "doc_id", "text").where("text is not null").select("doc_id", text.alias("t"))
+    whole = columns(docs, "doc_id", "text").where("text is not null").select("doc_id", F.col("text").cast("string").cast("binary").alias("t"))
+    texts = whole.withColumn("t", F.substring("t", 1, SAMPLE_BYTES))
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("t").alias("t")).orderBy("doc_id").collect()
     by = {q: [bytes(r["t"]) for r in rows if r["quality"] == q and r["t"]] for q in (0, 1)}
     n0, n1 = len(by[0]), len(by[1])
@@ -110,8 +110,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     except zstandard.ZstdError:  # too little text, then for both classes
         raw = [b"\n".join(halves[q][0])[:DICTIONARY_BYTES] for q in (1, 0)]
     model = Model(*raw)
-    x = Model.features(model.compressors(), halves[0][1] + halves[1][1])
-    y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
+    ids = {q: [r["doc_id"] for r in rows if r["quality"] == q and r["t"]][1::2] for q in (0, 1)}
+    curve = docs.sparkSession.createDataFrame([(d, q) for q in ids for d in ids[q]], known.schema)
+
+    def measure(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        pair = model.compressors()
+        for batch in batches:
+            f = Model.features(pair, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["doc_id", "quality", "gap", "size"])
+
+    one = whole.join(F.broadcast(curve), "doc_id").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.min("t").alias("t"))
+    found = sorted(tuple(r) for r in one.select(F.col("doc_id").cast("string"), "quality", "t").mapInArrow(measure, "doc_id string, quality int, gap double, size double").collect())
+    x, y = np.array([r[2:] for r in found]), np.array([float(r[1]) for r in found])
     return Model(*raw, tuple(logistic(x, y)))
 
 

@@ -268,6 +268,15 @@ def test_classifier_of_few_labels(spark):
     assert none.constant < 0.5 and quality_classifier.keep_good(docs, none).count() == docs.count()
 
 
+def test_classifier_curve_reads_whole_texts(spark):
+    most, rng = quality_classifier.SAMPLE_BYTES, np.random.default_rng(2)
+    words = {q: ["".join(chr(c) for c in rng.integers(97, 123, 6)) for _ in range(300)] for q in (0, 1)}
+    heads = [" ".join(rng.choice(words[i % 2], 4000))[:most] for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    same, other = (quality_classifier.fit(spark.createDataFrame([(i, h + tail) for i, h in enumerate(heads)], "doc_id long, text string"), labels) for tail in ("", " tail" * 9000))
+    assert (same.good, same.bad) == (other.good, other.bad) and same.weights != other.weights
+
+
 # 10
 def test_licenses(spark, edge, empty):
     mit = licenses.TEMPLATES["MIT"][3]
