@@ -3,6 +3,8 @@
 from lodegraph.model import EdgeTable, Index, NodeTable, PropertyGraph
 
 N = 1 << 40
+#: The smallest of the driver's tables.
+SF = "/root/testdata/sf0.001"
 
 
 def people(spark):

@@ -4,7 +4,7 @@ import math
 import os
 
 import pytest
-from conftest import SF
+from graphs import SF
 
 from lodegraph.queries import ORACLES, QUERIES
 
