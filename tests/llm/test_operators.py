@@ -7,7 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import ROWS
+from edges import ROWS
 
 from lodegraph.llm import ann, bpe, licenses, packing, pii, quality_classifier, quality_rules, simhash, token_store, warc
 from lodegraph.llm.common import work_folder
