@@ -217,19 +217,45 @@ def test_nearest(spark):
 
 
 def test_nearest_without_clusters():
-    """Vectors without neighbourhoods, in one block so large that the share, not
-    the least count, decides what is compared: the hard case for pivots."""
+    """Vectors without neighbourhoods: the hard case for pivots."""
     x = np.random.default_rng(11).normal(size=(8000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     ids = np.arange(len(x))
     want = brute.nearest(list(zip(ids.tolist(), x)), step=100)
     asked = ids[::100]
     pivots = x[np.random.default_rng(12).choice(len(x), ann.PIVOTS, replace=False)]
-    q, v, _ = ann.search_block(ids, x, asked, x[asked], pivots, 10, ann.SHARE, ann.LEAST)
+    q, v, _ = ann.search_block(ids, x, asked, x[asked], pivots, 10)
     hits = sum(len(set(v[q == a].tolist()) & {i for i, _ in want[a]}) for a in asked.tolist())
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def test_nearest_reads_few_postings():
+    x = np.random.default_rng(13).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pivots = x[:1024]
+    near = ann.prefixes(x, pivots, 64)
+    files = ann.Files(near, len(pivots))
+    place = {(v, p): a for v in range(200) for a, p in enumerate(near[v].tolist())}
+    gains = files.gains(near[0])
+    for v in range(200):  # the footrule of prefixes, a missing pivot being next
+        footrule = sum(abs(place.get((0, p), 64) - place.get((v, p), 64)) for p in {*near[0].tolist(), *near[v].tolist()})
+        assert footrule == 64 * 65 - 2 * gains[v]
+    assert sum(np.diff(files.offsets)[near[0]]) < 8 * len(x)
+
+
+def test_nearest_ties():
+    """126 distinct vectors at one distance: the smallest ids, whatever their order."""
+    axes = np.concatenate([np.eye(64)[1:], -np.eye(64)[1:]])
+    ids, x = np.arange(1, 127), axes[np.random.default_rng(3).permutation(126)]
+    q, v, s = ann.search_block(np.append(ids, 0), np.concatenate([x, np.eye(64)[:1]]), np.array([0]), np.eye(64)[:1], x[:100], 10, share=1.0)
+    assert v.tolist() == list(range(1, 11)) and len(set(s.tolist())) == 1
+    # copies of the query, and rows that repeat its id with other vectors, are told apart
+    ids = np.array([0, 0, 0, 0, 5, 6, 7, 8])
+    y = np.array([[1.0, 0], [1, 0], [1, 0.1], [1, 0.2], [1, 0], [1, 0], [1, 3], [1, 2]])
+    q, v, s = ann.search_block(ids, y, np.array([0]), y[:1], y[:1], 3, share=1.0)
+    assert v.tolist() == [5, 6, 8] and s.tolist() == [0, 0, 2]
+
+
 # 9
 def test_classifier(spark, edge, empty):
     sf = "/root/testdata/sf0.01"
