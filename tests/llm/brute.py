@@ -158,3 +158,47 @@ def nearest(rows, k=10, step=100):
             order = [j for j in np.lexsort((ids, d)) if ids[j] != i][:k]
             out[i] = [(int(ids[j]), float(d[j])) for j in order]
     return out
+
+
+def _same(a, b):
+    """Length of the longest common subsequence with every prefix of b."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row
+
+
+def licenses(text, templates, short=40):
+    """Every wording at every word of a text, cues or not; of one template's that
+    overlap the one with the fewest words different, then of all the longest."""
+    words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+(?:[.'-][^\W_]+)*", text)]
+    block, found = [w for w, _, _ in words], []
+    for name, texts in templates.items():
+        for t in texts:
+            want = [m[0].lower() for m in re.finditer(r"[^\W_]+(?:[.'-][^\W_]+)*", t)]
+            n = len(want)
+            off, own = 0 if n <= short else n // 20, []
+            for i in range(len(block)):
+                if block[i] not in want[: off + 1]:
+                    continue
+                if not off:
+                    if block[i : i + n] == want:
+                        own.append((0, words[i][1], words[i + n - 1][2]))
+                    continue
+                some = block[i : i + n + off]
+                same = _same(want, some)
+                ends = [(n - same[k] + k - same[k], k) for k in range(1, len(some) + 1) if n - same[k] <= off and k - same[k] <= off and same[k] > same[k - 1]]
+                if ends:
+                    different, k = min(ends, key=lambda e: (e[0], -e[1]))
+                    own.append((different, words[i][1], words[i + k - 1][2]))
+            for different, a, b in sorted(own):  # of one template, the nearest to it
+                if all(f[2] != t or b <= f[0] or f[1] <= a for f in found):
+                    found.append((a, b, t, different, name))
+    kept = []
+    for a, b, _, _, name in sorted(found, key=lambda f: (f[0] - f[1], f[3], f[0], f[4])):
+        if all(b <= x or y <= a for x, y, _ in kept):
+            kept.append((a, b, name))
+    return [(name, a, b) for a, b, name in sorted(kept)]

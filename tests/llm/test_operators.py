@@ -364,3 +364,33 @@ def test_licenses_repeated_with_other_words():
     mit = licenses.TEMPLATES["MIT"][3]
     text = mit.replace("copy", "xerox").replace("the", "das") + "\n" + mit.replace("granted", "given") + "\n" + mit
     assert [(n, a) for n, a, _ in licenses.Scanner().scan(text)] == [("MIT", text.index("Permission is hereby given")), ("MIT", text.rindex("Permission"))]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_licenses_brute(seed):
+    """Wordings of all kinds, whole or slightly changed, in prose that holds cues of its own."""
+    rng = np.random.default_rng(seed)
+    everything = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    prose = "the license of the house and its copyright reserved a permission to use public domain mit version 2.0 under spdx gnu general software of this".split()
+    parts = []
+    for _ in range(6):
+        parts.append(" ".join(rng.choice(prose, rng.integers(0, 40))))
+        words = everything[rng.integers(len(everything))].split(" ")
+        if len(words) > licenses.SHORT:
+            for i in rng.choice(np.arange(8, len(words) - 8), rng.integers(0, len(words) // 40 + 1), replace=False):
+                words[i] = "xylophone"
+        parts.append(rng.choice([" ", "\n", "\n# ", " " * 300]).join(words))
+    text = "\n".join(parts)
+    assert licenses.Scanner().scan(text) == brute.licenses(text, licenses.TEMPLATES)
+
+
+def test_licenses_far_from_a_cue():
+    """Near cues, none of which is left out: after white space, and far apart."""
+    for apart in (" " * 150, " " * 185, " " * 300, "\n * " * 70):
+        text = f"all rights reserved{apart}released under the MIT License{apart}SPDX-License-Identifier: MIT{apart}SPDX-License-Identifier: MIT"
+        assert [n for n, _, _ in licenses.Scanner().scan(text)] == ["Proprietary", "MIT", "MIT", "MIT"]
+        assert [n for n, _, _ in licenses.Scanner().scan(f"licensed under the{apart}MIT License, all rights{apart}reserved")] == ["MIT", "Proprietary"]
+    scanner = licenses.Scanner()
+    assert all(scanner._cue.search(t) for ts in licenses.TEMPLATES.values() for t in ts)
+    many = "copyright of a word " * 3000 + "SPDX-License-Identifier: MIT " * 2000
+    assert [n for n, _, _ in scanner.scan(many)] == ["MIT"] * 2000
