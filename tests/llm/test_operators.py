@@ -294,13 +294,29 @@ def test_classifier_of_few_labels(spark):
     assert none.constant < 0.5 and quality_classifier.keep_good(docs, none).count() == docs.count()
 
 
-def test_classifier_curve_reads_whole_texts(spark):
-    most, rng = quality_classifier.SAMPLE_BYTES, np.random.default_rng(2)
-    words = {q: ["".join(chr(c) for c in rng.integers(97, 123, 6)) for _ in range(300)] for q in (0, 1)}
-    heads = [" ".join(rng.choice(words[i % 2], 4000))[:most] for i in range(80)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
-    same, other = (quality_classifier.fit(spark.createDataFrame([(i, h + tail) for i, h in enumerate(heads)], "doc_id long, text string"), labels) for tail in ("", " tail" * 9000))
-    assert (same.good, same.bad) == (other.good, other.bad) and same.weights != other.weights
+def test_classifier_brute(spark, small):
+    """The same model and scores by plain code; whole texts count, also far behind their heads."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    docs = [(d, (t or "") + " tail of the text" * (2000 if d % 5 == 0 else 0)) for d, t in texts(small)]
+    bad = [(10_000 + i, "buy now cheap click here win " * (20 + i)) for i in range(60)]  # enough to train on
+    docs, known = docs + bad, known | {d: 0 for d, _ in bad}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality_classifier.fit(frame, spark.createDataFrame(list(known.items()), "doc_id long, quality int"))
+    good, bad, scores = brute.quality(docs, known, quality_classifier)
+    assert (model.good, model.bad) == (good, bad)
+    got = {r.doc_id: r.score for r in quality_classifier.score(frame, model).collect()}
+    assert got.keys() == scores.keys() and all(abs(got[d] - scores[d]) < 1e-6 for d in got)
+
+
+def test_classifier_odd_labels(spark, small):
+    """Null and repeated labels, ids without a document, documents without text."""
+    rows = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()]
+    docs = small.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, ""), (None, "x")], "doc_id long, text string"))
+    fits = lambda more: quality_classifier.fit(docs, spark.createDataFrame(rows + more, "doc_id long, quality int"))
+    plain = fits([])
+    assert plain.weights and fits([(d, None) for d, _ in rows[:50]] + [(None, 1), (rows[0][0], 7)] + rows[:50]) == plain
+    assert fits([(9001, 0), (9002, 1), (9003, 0)]).weights
 
 
 # 10
