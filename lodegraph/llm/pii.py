@@ -8,8 +8,10 @@ that follows its length, whatever it holds.
 
 Base kinds: email, ip (four parts of at most 255), card (13 to 19 digits, Luhn)
 and phone (9 to 15 digits). Added kinds, all with validation: credential
-(``user:password@`` in a URL), iban (mod 97), secret (a long mixed value after a
-cue such as ``token =``), ssn (after a cue).
+(``user:password@`` in a URL), iban (mod 97), secret (a value of 16 characters or
+more, letters and digits among them, after a cue such as ``token =``), ssn (at
+most 24 characters past its cue, without digits or line breaks between). Cues
+are found in upper and lower case.
 
 Defined results: null text counts as empty and has no spans; offsets are in code
 points, ends exclusive; repeated rows are read alike; an empty table gives no
@@ -36,11 +38,13 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_/+.~-]{16,}+)")
+_SECRET = re.compile(r"[\"']?[ \t]*+[=:][ \t]*+[\"']?([A-Za-z0-9_/+.~-]{16,}+)")
 _SSN = re.compile(r"[^0-9\n]{0,24}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
 _USER = re.compile(r"[^\s/?#@:<>\"']++:[^\s/?#@<>\"']++(?=@)")
-_SECRET_CUES = ("token", "secret", "api_key", "api-key", "apikey", "password", "passwd", "access_key", "private_key")
+#: In lower case; found in any.
+_SECRET_CUES = ("token", "secret", "api_key", "api-key", "api key", "apikey", "password", "passwd", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey")
 _SSN_CUES = ("ssn", "social security")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def luhn(digits: str) -> bool:
@@ -58,9 +62,7 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     words = {"@": "at", "://": "scheme"} | {d: "digit" for d in _DIGITS} | {f"+{d}": "plus" for d in _DIGITS}
-    for cues, what in ((_SECRET_CUES, "secret"), (_SSN_CUES, "ssn")):
-        for c in cues:
-            words |= {c: what, c.upper(): what, c.capitalize(): what, c.title(): what}
+    words |= dict.fromkeys(_SECRET_CUES, "secret") | dict.fromkeys(_SSN_CUES, "ssn")
     for w, what in words.items():
         a.add_word(w, what)
     a.make_automaton()
@@ -76,7 +78,10 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
         _OPEN.append(_automaton())
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
     past = dict.fromkeys((*out, "dotted", "chain"), 0)  # where the next one of each may begin
-    for end, what in _OPEN[0].iter(text):
+    low = text.lower()
+    if len(low) != len(text):  # a letter that is two in lower case
+        low = text.translate(_LOWER)
+    for end, what in _OPEN[0].iter(low):
         if what == "digit":
             if end >= past["dotted"]:
                 run = _DOTTED.match(text, end).span()
@@ -155,7 +160,7 @@ def masked(text: str) -> str:
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -164,10 +169,10 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             found = [find(t or "") for t in batch.column(1).to_pylist()]
             counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in BASE]
             base = pa.array([hashlib.sha256(joined(f, BASE).encode()).hexdigest() for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, pa.array([joined(f, BASE + ADDED) for f in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, pa.array([joined(f, BASE + ADDED) for f in found], pa.string()), pa.array([sum(map(len, f.values())) for f in found], pa.int64())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
     rows = columns(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:

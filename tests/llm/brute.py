@@ -234,3 +234,44 @@ def quality(docs, known, parameters):
         det = hcc * hss - hcs * hcs
         c, s = c + np.clip((hss * gc - hcs * gs) / det, -10, 10), s + np.clip((hcc * gs - hcs * gc) / det, -10, 10)
     return raw[1], raw[0], {d: float(1 / (1 + np.exp(-(c + s * gap(t or ""))))) for d, t in docs}
+
+
+CUES = {
+    "secret": ("token", "secret", "api_key", "api-key", "api key", "apikey", "password", "passwd", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey"),
+    "ssn": ("ssn", "social security"),
+    "credential": ("://",),
+}
+BEHIND = {
+    "secret": r"""["']?[ \t]*[=:][ \t]*["']?([A-Za-z0-9_/+.~-]{16,})""",
+    "ssn": r"[^0-9\n]{0,24}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])",
+    "credential": r"""([^\s/?#@:<>"']+:[^\s/?#@<>"']+)(?=@)""",
+}
+
+
+def personal_added(text):
+    """Added kinds, tried at every place of a text."""
+    out = {k: [] for k in (*CUES, "iban")}
+    for kind, cues in CUES.items():
+        past = 0
+        for end in range(1, len(text) + 1):
+            if end - 1 < past or not any(text[max(0, end - len(c)) : end].lower() == c for c in cues):
+                continue
+            m = re.compile(BEHIND[kind]).match(text, end)
+            if m and kind == "secret" and not (any(c.isdigit() and c.isascii() for c in m[1]) and any(c.isalpha() for c in m[1])):
+                continue
+            if m and kind == "ssn" and (m[1][:3] in ("000", "666") or m[1][0] == "9" or m[1][4:6] == "00" or m[1][7:] == "0000"):
+                continue
+            if m:
+                out[kind].append(m.span(1))
+                past = m.end(1) if kind != "credential" else 0
+    at = 0
+    while at < len(text):
+        m = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])").match(text, at)
+        if m and not (at and text[at - 1].isalnum()):
+            s = m[0].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+                out["iban"].append(m.span())
+                at = m.end()
+                continue
+        at += 1
+    return out

@@ -175,6 +175,7 @@ def test_packing(spark, docs):
 
 # 7
 def test_pii(docs):
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in pii.detect(docs).collect())
     assert bag(r[:6] for r in pii.detect(docs).collect()) == bag(brute.personal_row(d, t) for d, t in texts(docs))
 
 
@@ -197,6 +198,17 @@ def test_pii_long_values():
         assert pii.masked(cue + value + rest) == f"{cue}[{kind}]{rest}"
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_pii_added_brute(seed):
+    rng = np.random.default_rng(seed)
+    parts = ["token", "accessKey", "ApiKey: ", "API key = ", "passWord=", " : ", "=", "'", '"', " ", "\n", "abcdef0123456789abcd", "A1" * 20, "k" * 20, "SSN ", "Social Security no. ", "219-09-9999", "000-12-3456", "219-00-1234", "9", "ftp://", "https://user:pa55@host", "u:" + "p" * 30, "@", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89370400440532013001", "x", "İ", "ß", "token = token = ", "a@b.co", "-"]
+    for _ in range(40):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), 25))
+        found = pii.find(text)
+        assert {k: found[k] for k in pii.ADDED} == brute.personal_added(text), text
+        assert {k: found[k] for k in pii.BASE} == brute.personal(text), text
+
+
 # 8
 def test_nearest(spark):
     rng = np.random.default_rng(5)
