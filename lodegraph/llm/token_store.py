@@ -10,8 +10,9 @@ found by its shard's range, one hash probe a level, and one read at an offset.
 
 Defined results: null text counts as empty (its end id alone is stored); a null
 key sorts first, is stored, and is not found by key; rows that repeat a key are
-stored one after the other (by text) and found together; an empty table gives a
-store without shards. Columns other than the key and the text are not read.
+stored one after the other, by a hash of their text, over several shards if need
+be, and found together; an empty table gives a store without shards. Columns
+other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -137,6 +138,15 @@ class ShardIndex:
         return out
 
 
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """All rows of each key that is there, key by key."""
+        first = self.rows(keys)
+        first = first[first >= 0]
+        begins = np.flatnonzero(np.concatenate([[True], (self.keys[1:] != self.keys[:-1]) | (self.known[1:] != self.known[:-1])])) if len(self.keys) else first
+        end = np.append(begins, len(self.keys))[np.searchsorted(begins, first, "right")]
+        return np.repeat(first - offsets_of(end - first)[:-1], end - first) + np.arange((end - first).sum())
+
+
 def write_store(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", shards: int | None = None) -> list[dict]:
     """Encode ``docs`` into a store of ``shards`` key-range shards (by default
     the session's shuffle partitions); returns the manifest."""
@@ -171,7 +181,8 @@ def write_store(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: st
         yield pa.RecordBatch.from_pydict({"shard": [shard], "rows": [len(k)], "ids": [int(offsets[-1])], "least": pa.array([int(some[0]) if len(some) else None], pa.int64()), "most": pa.array([int(some[-1]) if len(some) else None], pa.int64())})
 
     rows = columns(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    dealt = rows.repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+    rows = rows.select("k", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("m"))  # rows that share a key, or a key and a text, are split too
+    dealt = rows.repartitionByRange(n, "k", "h", "m").sortWithinPartitions("k", "h", "m").select("k", "t")
     made = dealt.mapInArrow(encode, "shard long, rows long, ids long, least long, most long").collect()  # a row a shard
     manifest, before = [], 0
     for r in sorted(made, key=lambda r: r["shard"]):
@@ -207,23 +218,20 @@ class TokenStore:
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of every row with this key."""
-        at = int(np.searchsorted(self._most, key))
-        if at == len(self._shards):
-            return []
-        shard = self._shards[at]["shard"]
-        index = self.index(shard)
-        row = int(index.rows(np.array([key], np.int64))[0])
         out = []
-        while 0 <= row < len(index.keys) and index.known[row] and index.keys[row] == key:
-            out.append(self.ids(shard, int(index.offsets[row]), int(index.offsets[row + 1])))
-            row += 1
+        for m in self._shards[int(np.searchsorted(self._most, key)) :]:
+            if m["least"] > key:
+                break
+            index = self.index(m["shard"])
+            out += [self.ids(m["shard"], int(index.offsets[r]), int(index.offsets[r + 1])) for r in index.rows_of(np.array([key], np.int64)).tolist()]
         return out
 
 
 def read_store(spark: SparkSession, folder: str, block_ids: int = 4 << 20) -> DataFrame:
     """What the files of a store hold, a row a document: ``doc_id, start,
-    n_tokens, ids_crc32, shard, shard_offset``; every key is looked up through
-    the index on the way, and payloads pass in blocks."""
+    n_tokens, ids_crc32, shard, shard_offset``. Every distinct key of a shard is
+    looked up in its index, and what is read is at the offsets of the rows found;
+    rows without a key are read as they are stored. Payloads pass in blocks."""
     count = len(TokenStore(folder).manifest)
 
     def read(batches: Iterator) -> Iterator:
@@ -235,15 +243,21 @@ def read_store(spark: SparkSession, folder: str, block_ids: int = 4 << 20) -> Da
             before = {m["shard"]: m["before"] for m in store.manifest}
             for shard in batch.column(0).to_pylist():
                 index = store.index(shard)
-                o = index.offsets
-                if (index.rows(index.keys[index.known]) < 0).any():
+                keyed = index.rows_of(np.unique(index.keys[index.known]))
+                if len(keyed) != index.known.sum():
                     raise ValueError(f"shard {shard}: a stored key is not in its index")
-                row, n = 0, len(index.keys)
+                rows = np.concatenate([np.flatnonzero(~index.known), keyed])
+                start, end = index.offsets[rows], index.offsets[rows + 1]
+                taken = offsets_of(end - start)
+                row, n = 0, len(rows)
                 while row < n:
-                    to = max(row + 1, int(np.searchsorted(o, o[row] + block_ids, "right")) - 1)
-                    data = store.ids(shard, int(o[row]), int(o[to])).astype("<u4").tobytes()
-                    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((o[row:to] - o[row]).tolist(), (o[row + 1 : to + 1] - o[row]).tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(index.keys[row:to], mask=~index.known[row:to]), pa.array(o[row:to] + before[shard]), pa.array(np.diff(o[row : to + 1])), pa.array(crc, pa.int64()), pa.array(np.full(to - row, shard)), pa.array(o[row:to])], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_offset"])
+                    to = max(row + 1, int(np.searchsorted(taken, taken[row] + block_ids, "right")) - 1)
+                    a, b = start[row:to], end[row:to]
+                    if (a[1:] != b[:-1]).any():
+                        raise ValueError(f"shard {shard}: the index leads to other rows than are stored")
+                    data = store.ids(shard, int(a[0]), int(b[-1])).astype("<u4").tobytes()
+                    crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip((a - a[0]).tolist(), (b - a[0]).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(index.keys[rows[row:to]], mask=~index.known[rows[row:to]]), pa.array(a + before[shard]), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(np.full(to - row, shard)), pa.array(a)], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_offset"])
                     row = to
                 store._open.pop(shard, None)
 

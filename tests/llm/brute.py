@@ -1,6 +1,7 @@
 """Slow, plain versions of the training-data operators, to test against."""
 
 import base64
+import functools
 import hashlib
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+@functools.cache
 def tokenizer(name):
     import public_tokenizers
     from tokenizers import Tokenizer

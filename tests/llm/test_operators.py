@@ -45,6 +45,34 @@ def test_token_store_access(spark, edge):
     assert len(store.get(7)) == 2 and store.get(77) == [] and store.get(10**15) == []
 
 
+def test_token_store_hot_key(spark):
+    """A third of the rows under one key, another third without one: split over shards, found together."""
+    rows = [(7, f"text {i % 50}") for i in range(900)] + [(None, f"none {i % 40}") for i in range(900)] + [(i, f"other {i}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = work_folder(spark, "test-store")
+    manifest = token_store.write_store(spark, frame, folder, tokenizer(WORD), shards=12)
+    assert max(m["rows"] for m in manifest) < 600
+    store = token_store.TokenStore(folder)
+    assert bag(x.tolist() for x in store.get(7)) == bag(brute.word_ids([t for d, t in rows if d == 7])) and len(store.get(8)) == 1
+    got = token_store.read_store(spark, folder).collect()
+    assert bag((r.doc_id, r.ids_crc32) for r in got) == bag((d, zlib.crc32(brute.raw(ids))) for (d, _), ids in zip(rows, brute.word_ids([t for _, t in rows])))
+    assert [r.start for r in sorted(got, key=lambda r: r.start)] == np.cumsum([0, *(r.n_tokens for r in sorted(got, key=lambda r: r.start))])[:-1].tolist()
+
+
+def test_token_store_reads_through_index(spark, edge):
+    """A wrong row in the index gives an error, not the stored order."""
+    folder = work_folder(spark, "test-store")
+    token_store.write_store(spark, edge, folder, tokenizer(WORD), shards=1)
+    store = token_store.TokenStore(folder)
+    index = store.index(0)
+    index.first = index.first[::-1].copy()
+    path = folder.removeprefix("file://") + "/shard-00000.idx"
+    with open(path, "wb") as out:
+        index.write(out)
+    with pytest.raises(Exception, match="index"):
+        token_store.read_store(spark, folder).collect()
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(10**12, 5000, replace=False).astype(np.int64)
     slots = token_store.PerfectHash.build(keys).slots(keys)
