@@ -87,14 +87,33 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def heavy_keys(counted: DataFrame, key: str, part: int = 1000) -> list:
+    """Keys of ``counted(key, n)`` with more than one row in ``part``, so fewer
+    than ``part`` keys, however large the table."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counted.where((F.col("n") > 1) & (F.col("n") * part > F.lit(total))).select(key).collect()]
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, heavy: list, salts: int = 64) -> DataFrame:
+    """``left.join(right, key)``, where ``right`` has a row a key: rows of
+    ``left`` under heavy keys are dealt to ``salts`` copies of that row."""
+    if not heavy:
+        return left.join(right, key)
+    hot = F.col(key).isin(heavy)
+    dealt = left.withColumn("_salt", F.when(hot, F.monotonically_increasing_id() % salts).otherwise(F.lit(0)).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root being
     the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected
     Components in MapReduce and Beyond", 2014): each step points neighbours at
-    the smallest one, rows never exceed the edges, and neighbour lists are
-    reduced by ``min`` before they meet, so a hub is never gathered in a task.
+    the smallest one, rows never exceed the edges, and of a node's neighbours
+    only the least is ever aggregated; the edges of a hub are joined by its id,
+    which adaptive execution splits where they are many.
     """
     shared_root(spark)  # sets a checkpoint folder where there is none
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()

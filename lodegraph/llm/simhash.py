@@ -9,17 +9,21 @@ the index are masked patterns, six bytes each, one mask for every choice of six
 bytes: a fingerprint is posted under its 28 patterns, and any linked pair meets
 under one. Below a pattern at most 2 ** 16 fingerprints exist, whatever the
 corpus, which bounds every group. Inside it members are sorted by the Gray rank
-of the free two bytes, so that those sharing the first of these are adjacent
-and form the lower nodes; pairs of nodes are pruned by the differences counted
-so far, and only what is left is compared in full. Each group yields a link to
-the smallest member of each of its connected parts, not all pairs.
+of the free two bytes, so that those sharing their first bits are adjacent: four
+levels of lower nodes, four bits each. Pairs of nodes descend level by level
+with the differences counted so far, and a pair beyond two goes with all that is
+below it, so what is made follows the links that there are. Each group yields a
+link to the smallest member of each of its connected parts, not all pairs.
 
-Components of these links are found over the groups' smallest documents and
-joined back to the documents by fingerprint.
+Components of these links are found over the fingerprints, named by their
+smallest documents and joined back to the documents by fingerprint; fingerprints
+of more than a thousandth of all documents, which are fewer than a thousand, are
+salted there.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
-other; ties and repeated rows share a fingerprint; a null doc_id is a member
-but never names a component, unless all ids in it are null (then null).
+other; ties and repeated rows share a fingerprint; a null doc_id is a member,
+which others may be linked through, but never names a component, unless all ids
+in it are null (then null).
 """
 
 from __future__ import annotations
@@ -31,14 +35,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, components, stored
+from .common import columns, components, heavy_keys, join_salted, stored
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: The pairs of bytes that a mask leaves free.
 FREE = tuple(combinations(range(8), 2))
 #: Rows whose links are searched at a time; larger groups still come whole.
 BLOCK_ROWS = 1 << 18
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Pairs of nodes that descend together.
+BLOCK_PAIRS = 1 << 20
 #: Shingles whose bits are summed at a time.
 _PART = 1 << 15
 
@@ -90,32 +95,36 @@ def _pairs(first: np.ndarray, count: np.ndarray, other: np.ndarray, others: np.n
     return pair, first[pair] + within // others[pair], other[pair] + within % others[pair]
 
 
-def group_links(group: np.ndarray, f: np.ndarray, free: np.ndarray, limit: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``(i, j)`` linked inside groups; rows of a group are adjacent and in
-    Gray order of their free word, ``free``."""
-    n = len(f)
-    new_group = np.concatenate([[True], group[1:] != group[:-1]])
-    high = free >> 8
-    new_node = new_group | np.concatenate([[True], high[1:] != high[:-1]])
-    node_start = np.flatnonzero(new_node)
-    node_end = np.append(node_start[1:], n)
-    node_group = np.cumsum(new_group)[node_start] - 1
-    first = np.flatnonzero(np.concatenate([[True], node_group[1:] != node_group[:-1]]))
-    size = np.diff(np.append(first, len(node_start)))
-    out_i, out_j = [], []
-    for at in range(0, len(first), 4096):
-        a, b = first[at : at + 4096], size[at : at + 4096]
-        for lo in range(0, int(b.max(initial=0)), 64):  # nodes of a group in bands, so that pairs stay few
-            some = b > lo
-            _, x, y = _pairs(a[some] + lo, np.minimum(b[some] - lo, 64), a[some], b[some])
-            apart = _POPCOUNT[high[node_start[x]] ^ high[node_start[y]]]
-            keep = (x <= y) & (apart <= limit)  # whole nodes go
-            x, y, apart = x[keep], y[keep], apart[keep]
-            pair, i, j = _pairs(node_start[x], node_end[x] - node_start[x], node_start[y], node_end[y] - node_start[y])
-            near = (i < j) & (apart[pair] + _POPCOUNT[(free[i] ^ free[j]) & 0xFF] <= limit)
-            out_i.append(i[near])
-            out_j.append(j[near])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64),) * 2
+def group_links(group: np.ndarray, free: np.ndarray, limit: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows ``(i, j)`` linked inside groups; rows of a group are adjacent, in
+    Gray order of their free word, which differs from row to row."""
+    n = len(free)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    starts = [np.flatnonzero(new)]  # of nodes by level: groups, then 4, 8, 12 and 16 bits
+    for shift in (12, 8, 4, 0):
+        bits = free >> shift
+        new = new | np.concatenate([[True], bits[1:] != bits[:-1]])
+        starts.append(np.flatnonzero(new))
+    firsts = [np.searchsorted(below, above) for above, below in zip(starts, starts[1:])]
+    counts = [np.diff(np.append(first, len(below))) for first, below in zip(firsts, starts[1:])]
+    more = np.flatnonzero(np.diff(np.append(starts[0], n)) > 1)
+    open_ = [(0, more, more, np.zeros(len(more), np.uint8))] if len(more) else []
+    while open_:
+        level, x, y, apart = open_.pop()
+        sizes = np.cumsum(counts[level][x] * counts[level][y])
+        if sizes[-1] > BLOCK_PAIRS and len(x) > 1:
+            cut = min(max(1, int(np.searchsorted(sizes, BLOCK_PAIRS, "right"))), len(x) - 1)
+            open_ += [(level, x[cut:], y[cut:], apart[cut:]), (level, x[:cut], y[:cut], apart[:cut])]
+            continue
+        pair, i, j = _pairs(firsts[level][x], counts[level][x], firsts[level][y], counts[level][y])
+        begins = starts[level + 1]
+        differ = apart[pair] + np.bitwise_count(((free[begins[i]] ^ free[begins[j]]) >> (12 - 4 * level)) & 15)
+        keep = (differ <= limit) & ((i <= j) if level < 3 else (i < j))
+        i, j = i[keep], j[keep]
+        if level == 3:
+            yield begins[i], begins[j]
+        elif len(i):
+            open_.append((level + 1, i, j, differ[keep]))
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -136,10 +145,10 @@ def _search(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     def links(part: list[np.ndarray]):
-        key = (part[0] << 48) | part[1]
-        i, j = group_links(key, part[1], part[2])
-        if not len(i):
+        found = [x for x in group_links((part[0] << 48) | part[1], part[2]) if len(x[0])]
+        if not found:
             return None
+        i, j = (np.concatenate(x) for x in zip(*found))
         rows = np.unique(np.concatenate([i, j]))
         low = _roots(len(rows), np.searchsorted(rows, i), np.searchsorted(rows, j), part[3][rows])
         apart = low != part[3][rows]
@@ -186,7 +195,12 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     prints = stored(spark, fingerprints(docs), "simhash")
-    distinct = stored(spark, prints.groupBy("f").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    roots = components(spark, near_links(distinct.where("rep is not null")))
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("f", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = stored(spark, prints.groupBy("f").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    found = components(spark, near_links(distinct.select("f", F.col("f").alias("rep"))))
+    linked = found.select(F.col("node").alias("f"), "root").union(found.select("root", "root").distinct())
+    linked = linked.join(distinct.select("f", "rep"), "f").checkpoint()
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    named = distinct.join(linked.join(least, "root").select("f", "root", "least"), "f", "left")
+    named = named.select("f", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+    joined = join_salted(prints, named, "f", heavy_keys(distinct, "f"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

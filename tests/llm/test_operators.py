@@ -120,6 +120,34 @@ def test_gray_index_finds_all_links(spark):
     assert [roots.get(i, i) for i in range(len(f))] == low
 
 
+def test_gray_index_full_group():
+    """All 2 ** 16 words of one group, then sparse groups: every link, once, in bounded blocks."""
+    words = np.arange(1 << 16)
+    words = words[np.argsort(simhash.gray_rank(words), kind="stable")]
+    links, most = 0, 0
+    for i, j in simhash.group_links(np.zeros(1 << 16, np.int64), words):
+        assert (np.bitwise_count(words[i] ^ words[j]) <= 2).all()
+        links, most = links + len(i), max(most, len(i))
+    assert links == (1 << 16) * (16 + 120) // 2 and most <= simhash.BLOCK_PAIRS
+    rng = np.random.default_rng(4)
+    rows = np.unique(rng.integers(0, 1 << 9, 3000) << 16 | rng.integers(0, 1 << 16, 3000) & 0x0F0F)
+    rows = rows[np.lexsort((simhash.gray_rank(rows & 0xFFFF), rows >> 16))]
+    got = {(int(a), int(b)) for i, j in simhash.group_links(rows >> 16, rows & 0xFFFF) for a, b in zip(rows[i], rows[j])}
+    want = {(int(a), int(b)) for a in rows for b in rows[(rows >> 16 == a >> 16) & (np.bitwise_count(rows ^ a) <= 2) & (rows != a)]}
+    assert {frozenset(x) for x in got} == {frozenset(x) for x in want} and len(got) * 2 == len(want)
+
+
+def test_simhash_linked_through_null_ids(spark, monkeypatch):
+    """Documents without an id bridge two others; one fingerprint of most rows is salted."""
+    f = {0: 0, 1: 0b11, 2: 0b1111, 3: 0b111111, 9: 7 << 40, 10: 0xFF << 50, 11: (0xFF << 50) | 1}
+    rows = [(5, 0), (None, 1), (3, 2), (None, 9), (None, 10), (None, 11), (7, 3), *((100 + i, 9) for i in range(500)), *((None, 9) for i in range(300))]
+    made = spark.createDataFrame([(d, f[k]) for d, k in rows], "doc_id long, f long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: made)
+    got = simhash.near_duplicates(spark, made).collect()
+    name = {0: 3, 1: 3, 2: 3, 3: 3, 9: 100, 10: None, 11: None}
+    assert bag(got) == bag((d, f"{f[k]:016x}", name[k]) for d, k in rows)
+
+
 # 4
 PAGES = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b/ü", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 50), (6, "u", "z" * 300_000), (6, "u", "z" * 300_000), (None, "u", "<p>x</p>"), (9, "u", "中文")]
 
