@@ -16,14 +16,16 @@ _FOLDERS: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (a single machine, as in tests) is a
-    temporary folder made and set as checkpoint folder.
+    Only where the session sets none and runs on a single machine, as in tests,
+    is a temporary folder made and set as checkpoint folder.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = getattr(spark.sparkContext, "_lodegraph_shared", None)
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
         spark.sparkContext._lodegraph_shared = known
         spark.sparkContext.setCheckpointDir(known + "/checkpoints")
@@ -39,9 +41,12 @@ def work_folder(spark: SparkSession, what: str) -> str:
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path in it) of a URI or of an absolute path."""
+    """(pyarrow file system, path in it) of a URI or of an absolute path. Hadoop's
+    names of S3 are those of Arrow's; stores that Arrow can't open are an error."""
     from pyarrow import fs
 
+    for hadoop in ("s3a://", "s3n://"):
+        uri = uri.replace(hadoop, "s3://", 1) if uri.startswith(hadoop) else uri
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 

@@ -15,7 +15,10 @@ range, so the tables stay small.
 Defined results: null html counts as empty; null urls are written as an empty
 target; a null page_id is smaller than any other; rows that repeat the largest
 page_id of a payload are all responses; an empty table gives no files and no
-rows. A chain that breaks (truncated or damaged file) raises.
+rows. A chain that breaks (truncated or damaged file) raises. Of other writers'
+records, responses and revisits have a null page_id and refers_to, the digest
+and length that their header or payload gives, else null; other types are left
+out.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, file_system, publish, work_folder
+from .common import columns, file_system, heavy_keys, join_salted, publish, stored, work_folder
 
 RANGE_BYTES = 8 << 20
 _LEAD = b"\r\n\r\n"
@@ -38,8 +41,9 @@ _URN = "urn:lodegraph:page:"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """A record; ``payload``, of ``size`` bytes, isn't read for a revisit."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     name = lambda x: f"<{_URN}{'null' if x is None else x}>"
     head = [
@@ -59,10 +63,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def write_archives(pages: DataFrame, folder: str) -> list[dict]:
     """Write every row; returns ``{"file", "bytes"}`` a file."""
+    spark = pages.sparkSession
     rows = columns(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
 
+    sha1 = F.sha1(F.col("html").cast("binary"))
+    first = stored(spark, rows.select("page_id", sha1.alias("sha1")).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")), "warc-first")
+    heavy = heavy_keys(first, "sha1")
+    responses = {r["sha1"]: r["response"] for r in first.where(F.col("sha1").isin(heavy)).collect()} if heavy else {}
+
     def squeeze(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
@@ -70,11 +80,12 @@ def write_archives(pages: DataFrame, folder: str) -> list[dict]:
         small = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             raw = batch.column(2).cast(pa.binary()).to_pylist()
-            sha1, data = [hashlib.sha1(x).hexdigest() for x in raw], [small.compress(x) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha1, pa.string()), pa.array(data, pa.binary())], names=["page_id", "url", "sha1", "data"])
+            sha1 = [hashlib.sha1(x).hexdigest() for x in raw]
+            data = [None if x in responses and responses[x] != page else small.compress(h) for h, x, page in zip(raw, sha1, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha1, pa.string()), pa.array(map(len, raw), pa.int64()), pa.array(data, pa.binary())], names=["page_id", "url", "sha1", "size", "data"])
 
-    squeezed = rows.mapInArrow(squeeze, "page_id long, url string, sha1 string, data binary")  # payloads are dealt compressed
-    first = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1")).groupBy("sha1").agg(F.max("page_id").alias("response"))
+    # payloads are dealt compressed, those of copies of heavy ones not at all
+    squeezed = rows.mapInArrow(squeeze, "page_id long, url string, sha1 string, size long, data binary")
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -88,14 +99,15 @@ def write_archives(pages: DataFrame, folder: str) -> list[dict]:
         def fill(out) -> None:
             nonlocal size
             for batch in batches:
-                for page, url, sha1, data, response in zip(*(c.to_pylist() for c in batch.columns)):
-                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                    size += out.write(record(page, url, whole(data), digest, response, page != response))
+                for page, url, sha1, length, data, response in zip(*(c.to_pylist() for c in batch.columns)):
+                    digest, revisit = base64.b32encode(bytes.fromhex(sha1)).decode(), page != response
+                    size += out.write(record(page, url, b"" if revisit else whole(data), length, digest, response, revisit))
 
         publish(f"{folder}/{file}", fill)
         yield pa.RecordBatch.from_pydict({"file": [file], "bytes": [size]})
 
-    made = squeezed.join(first, "sha1").select("page_id", "url", "sha1", "data", "response").mapInArrow(write, "file string, bytes long").collect()
+    joined = join_salted(squeezed, first.select("sha1", "response"), "sha1", heavy)
+    made = joined.select("page_id", "url", "sha1", "size", "data", "response").mapInArrow(write, "file string, bytes long").collect()
     return [r.asDict() for r in made if r["bytes"]]
 
 
@@ -216,7 +228,8 @@ def read_archives(spark: SparkSession, folder: str, files: list[dict], step: int
                         raise ValueError(f"{file}: no record at {at}")
                     head, begin = got
                     n = int(head["content-length"])
-                    rows.append(_row(head, source.read(begin, n)))
+                    row = _row(head, source.read(begin, n))
+                    rows += [row] if row else []
                     at = begin + n + 4
                 source.close()
                 yield pa.RecordBatch.from_pylist(rows, schema=_schema())
@@ -230,14 +243,20 @@ def _schema():
     return pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
 
-def _row(head: dict[str, str], block: bytes) -> dict:
-    page = lambda x: None if x is None or x.endswith(":null>") else int(x.rpartition(":")[2].rstrip(">"))
-    http, _, payload = block.partition(_LEAD)
-    length = int(_Range.parse(http)["content-length"])
-    digest = head["warc-payload-digest"].removeprefix("sha1:")
-    if head["warc-type"] == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError(f"{head['warc-record-id']}: payload and digest differ")
-    return {"page_id": page(head["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": head["warc-type"], "refers_to": page(head.get("warc-refers-to")), "url": head.get("warc-target-uri")}
+def _row(head: dict[str, str], block: bytes) -> dict | None:
+    kind, own = head.get("warc-type", "").lower(), head.get("warc-record-id", "").startswith(f"<{_URN}")
+    if kind not in ("response", "revisit"):
+        return None
+    page = lambda x: None if x is None or not own or x.endswith(":null>") else int(x.rpartition(":")[2].rstrip(">"))
+    http, _, payload = block.partition(_LEAD) if head.get("content-type", "").startswith("application/http") or own else (b"", b"", block)
+    length, digest = _Range.parse(http).get("content-length"), head.get("warc-payload-digest")
+    size = int(length) if length and length.isascii() and length.isdigit() else None
+    if kind == "response":
+        found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if own and (size != len(payload) or digest != f"sha1:{found}"):
+            raise ValueError(f"{head['warc-record-id']}: payload and digest differ")
+        size, digest = len(payload), digest or found
+    return {"page_id": page(head.get("warc-record-id")), "payload_bytes": size, "payload_digest": digest and digest.removeprefix("sha1:"), "record_type": kind, "refers_to": page(head.get("warc-refers-to")), "url": head.get("warc-target-uri")}
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

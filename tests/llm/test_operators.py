@@ -186,6 +186,31 @@ def test_warc_long_header(spark):
         assert bag((r.page_id, r.url) for r in warc.read_archives(spark, folder, files, step).collect()) == bag(r[:2] for r in rows)
 
 
+def test_warc_heavy_payload(spark):
+    """Half of all pages carry one payload: dealt to many tasks, written once."""
+    rows = [(i, "u", "error " * 500 if i % 2 else f"page {i}") for i in range(4000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = work_folder(spark, "test-warc")
+    files = warc.write_archives(pages, folder)
+    assert len(files) > 4 and sum(f["bytes"] for f in files) < 4000 * 600
+    assert bag(r[:5] for r in warc.read_archives(spark, folder, files).collect()) == bag(brute.warc_rows([(p, h) for p, _, h in rows]))
+
+
+def test_warc_of_other_writers(spark):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    plain = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: text/dns\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
+    page = b"HTTP/1.1 200 OK\r\n\r\n<p>hi</p>"
+    http = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(page), page)
+    data = info + plain + http + info
+    folder = work_folder(spark, "test-warc")
+    from lodegraph.llm.common import publish
+
+    publish(f"{folder}/other.warc", lambda out: out.write(data))
+    got = warc.read_archives(spark, folder, [{"file": "other.warc", "bytes": len(data)}], 64).collect()
+    assert {(r.page_id, r.payload_bytes, r.record_type) for r in got} == {(None, 3, "response"), (None, 9, "response")}
+    assert {r.payload_digest for r in got} == {brute.warc_rows([(1, x)])[0][2] for x in ("xyz", "<p>hi</p>")}
+
+
 # 5
 def test_bpe(spark, docs):
     t = brute.tokenizer(BYTE)
