@@ -66,18 +66,20 @@ def fingerprint(text: bytes | None) -> int:
     return int(((2 * sums > total).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, f``: fingerprints as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id, f``: fingerprints as signed 64-bit integers; ``h``, a hash of
+    the text, as well where it is asked for."""
+    more = ["h"] * hashed
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             f = np.array([fingerprint(None if x is None else x) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], names=["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), *batch.columns[2:]], names=["doc_id", "f", *more])
 
-    rows = columns(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f long")
+    rows = columns(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    return rows.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, f long" + ", h long" * hashed)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -192,15 +194,37 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return alone.select("mask", "pattern", "free", "rep").mapInArrow(_search, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document."""
-    prints = stored(spark, fingerprints(docs), "simhash")
+def groups(spark: SparkSession, prints: DataFrame) -> tuple[DataFrame, list]:
+    """``f, root, component_id`` of each distinct fingerprint of ``prints(doc_id,
+    f)``, root being the smallest fingerprint of its component; and heavy ones."""
     distinct = stored(spark, prints.groupBy("f").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     found = components(spark, near_links(distinct.select("f", F.col("f").alias("rep"))))
     linked = found.select(F.col("node").alias("f"), "root").union(found.select("root", "root").distinct())
     linked = linked.join(distinct.select("f", "rep"), "f").checkpoint()
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     named = distinct.join(linked.join(least, "root").select("f", "root", "least"), "f", "left")
-    named = named.select("f", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    joined = join_salted(prints, named, "f", heavy_keys(distinct, "f"))
+    named = named.select("f", F.coalesce("root", "f").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+    return named, heavy_keys(distinct, "f")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document."""
+    prints = stored(spark, fingerprints(docs), "simhash")
+    named, heavy = groups(spark, prints)
+    joined = join_salted(prints, named, "f", heavy)
     return joined.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component, with all columns: of its smallest
+    id (none only where no row has one) that with the least hash of its text,
+    then the least row. Rows that repeat an id and rows without one are
+    documents of their own."""
+    k, h = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
+    prints = stored(spark, fingerprints(docs, key, text, hashed=True), "simhash")
+    named, heavy = groups(spark, prints)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    kept = join_salted(prints, named, "f", heavy).groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.h").alias("_h"))
+    rows = docs.withColumn("_h", h).join(kept.withColumnRenamed("_h", "_kept"), k.cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.groupBy(k.cast("long").alias("_id"), "_h").agg(F.min(row).alias("r")).select("r.*")

@@ -148,6 +148,17 @@ def test_simhash_linked_through_null_ids(spark, monkeypatch):
     assert bag(got) == bag((d, f"{f[k]:016x}", name[k]) for d, k in rows)
 
 
+def test_one_of_each(spark):
+    """Rows that repeat an id with other texts are kept apart, as are rows without ids."""
+    long = "the house by the river is old and it was built for the men of the town who came to work in the mill "
+    rows = [(1, long, "a"), (2, long, "b"), (2, "another text altogether that is not like it", "c"), (2, "another text altogether that is not like it", "b"), (None, long, "d"), (None, "without id", "e"), (None, "without id", "e"), (None, None, "f"), (4, "", "g"), (3, " ", "h"), (7, "seven words stand here for no reason", "i"), (7, "seven other words are not the same", "j")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `odd name` string")
+    got = simhash.one_of_each(spark, frame)
+    assert got.columns == frame.columns
+    assert bag(got.collect()) == bag([rows[0], rows[3], rows[5], rows[9], rows[10], rows[11]])
+    assert simhash.one_of_each(spark, frame.where("false")).count() == 0
+
+
 # 4
 PAGES = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b/ü", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 50), (6, "u", "z" * 300_000), (6, "u", "z" * 300_000), (None, "u", "<p>x</p>"), (9, "u", "中文")]
 
