@@ -29,14 +29,9 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id; of
-    rows that repeat an id, the one with the least text. Rows without an id stay
-    once per text."""
-    docs = columns(docs, *COLUMNS)
-    first = simhash.near_duplicates(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = F.struct(*(c for c in COLUMNS if c != "doc_id"))
-    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rest, rest).alias("r")).select("doc_id", "r.*")
-    return one.select(*COLUMNS).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One document of each SimHash component, the one with the smallest id; rows
+    that repeat an id, or have none, are documents of their own."""
+    return simhash.one_of_each(spark, columns(docs, *COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
