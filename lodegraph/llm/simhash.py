@@ -220,11 +220,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     id (none only where no row has one) that with the least hash of its text,
     then the least row. Rows that repeat an id and rows without one are
     documents of their own."""
-    k, h = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
+    k, keys = F.col(f"`{key}`").cast("long"), ["_none", "_id", "_h"]  # a join's keys are the grouping's: texts are dealt once
     prints = stored(spark, fingerprints(docs, key, text, hashed=True), "simhash")
     named, heavy = groups(spark, prints)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    kept = join_salted(prints, named, "f", heavy).groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.h").alias("_h"))
-    rows = docs.withColumn("_h", h).join(kept.withColumnRenamed("_h", "_kept"), k.cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return rows.groupBy(k.cast("long").alias("_id"), "_h").agg(F.min(row).alias("r")).select("r.*")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("h").alias("_h"))
+    kept = join_salted(prints, named, "f", heavy).groupBy("root").agg(F.min(order).alias("r")).select("r.*")
+    rows = docs.withColumns({"_none": k.isNull(), "_id": F.coalesce(k, F.lit(0)), "_h": F.xxhash64(F.col(f"`{text}`"))}).join(kept, keys, "left_semi")
+    return rows.groupBy(*keys).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("r")).select("r.*")
