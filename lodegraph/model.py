@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .plans import types as T
 
-SHIFT = 40
+SHIFT = 48
 _HEAD = {"id", "src", "dst"}
 
 
@@ -130,19 +130,22 @@ class PropertyGraph:
         return replace(self, version=self.version + 1, _types={}, **changes)
 
 
-def local_ids(df: DataFrame, ordinal: int, key: str) -> Column:
-    """Ids from an integer business key."""
-    return F.lit(ordinal << SHIFT) + F.col(key).cast("bigint")
+def local_ids(ordinal: int, key: Column) -> Column:
+    """Ids from whole-number keys of 0 to 2 ** SHIFT - 1; another key is an error,
+    as it would be an id of another table."""
+    k = key.cast("bigint")
+    beyond = F.raise_error(F.concat(F.lit("a key doesn't fit an id: "), k.cast("string"))).cast("bigint")
+    return F.when(F.shiftright(k, SHIFT) == 0, F.lit(ordinal << SHIFT) + k).when(k.isNotNull(), beyond)
 
 
-def numbered(spark: SparkSession, df: DataFrame, name: str = "__n") -> DataFrame:
+def numbered(df: DataFrame, name: str = "__n") -> DataFrame:
     """``df`` (a stored table, read alike each time) with dense numbers from 0:
-    a count for each partition, then its offset and the row's place in it."""
-    part = F.spark_partition_id()
-    counts = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    offsets, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(total)
-        total += counts.get(p, 0)
+    a row's place in its partition, and the rows of the partitions before, a
+    table of a row a partition that is broadcast."""
+    part = F.spark_partition_id().alias("__part")
+    counts = df.groupBy(part).agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__ahead"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, place + F.get(F.array(*map(F.lit, offsets)) if offsets else F.array(F.lit(0)), part).cast("bigint"))
+    placed = df.select("*", part, place.alias("__place")).join(F.broadcast(ahead), "__part")
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__place") + F.col("__ahead")).alias(name))

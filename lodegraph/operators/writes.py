@@ -68,7 +68,7 @@ class Writer:
             df = self.params[source.name]
             row = F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns))
             df = stored(df.select(row.alias("row")), "ops")
-            return numbered(spark, df, "ordinal"), {w.unwind.var: ValB("row", T.of_spark(df.schema["row"].dataType))}
+            return numbered(df, "ordinal"), {w.unwind.var: ValB("row", T.of_spark(df.schema["row"].dataType))}
         v = self.planner.exprs({})(source)
         if T.kind(v.type) != "list" or not isinstance(v.value, list):
             raise WriteProblem("UNWIND in a write takes a list")
@@ -242,7 +242,7 @@ class Writer:
                 cols.append(F.col(f"`p_{k}`")["v"].alias(k))
         table = nodes[at].df
         last = table.agg(F.max(F.col("id").bitwiseAND(F.lit(_MASK)))).first()[0]
-        made = numbered(graph.spark, stored(new.select(*cols), "created"))
+        made = numbered(stored(new.select(*cols), "created"))
         made = made.withColumn("id", F.lit(at << SHIFT) + F.col("__n") + F.lit(-1 if last is None else last) + 1).drop("__n")
         nodes[at] = replace(nodes[at], df=aligned([table, made], ["id"]))
         return graph.with_version(nodes=tuple(nodes))
@@ -272,7 +272,7 @@ class Writer:
             if to is None:
                 to = len(nodes)
                 nodes.append(NodeTable(labels, g.spark.createDataFrame([], "id bigint"), g.nodes[i].key))
-            rows = numbered(g.spark, stored(nodes[i].df.join(ids, "id", "left_semi"), "moved"))
+            rows = numbered(stored(nodes[i].df.join(ids, "id", "left_semi"), "moved"))
             last = nodes[to].df.agg(F.max(F.col("id").bitwiseAND(F.lit(_MASK)))).first()[0]
             rows = rows.withColumn("__new", F.lit(to << SHIFT) + F.col("__n") + F.lit(-1 if last is None else last) + 1)
             moves.append(rows.select(F.col("id").alias("__old"), "__new"))
@@ -363,7 +363,7 @@ class Writer:
             by = F.struct(*identity)
             rows = self.folded(new.withColumn("__by", by), "__by", created)
             cols = [F.col("__by.a_id").alias("src"), F.col("__by.b_id").alias("dst"), *(F.col(f"`p_{k}`")["v"].alias(k) for k, (_, t, _) in created.values.items() if t != T.NULL)]
-            made = numbered(g.spark, stored(rows.select(*cols), "edges"))
+            made = numbered(stored(rows.select(*cols), "edges"))
             last = edges[at].df.agg(F.max(F.col("id").bitwiseAND(F.lit(_MASK)))).first()[0]
             made = made.withColumn("id", F.lit(at << SHIFT) + F.col("__n") + F.lit(-1 if last is None else last) + 1).drop("__n")
             tables_of = lambda p: g.node_tables(lambda labels: set(self.labels(p)) <= labels)

@@ -263,7 +263,7 @@ def _assembled(spark: SparkSession, said: DataFrame, indexes: tuple[Index, ...],
     keys = {x.label: x.properties[0] for x in indexes if x.kind == "range" and x.entity == "node"}
     for i, name in enumerate(sets):
         part = stored(nodes.where(F.col("set") == name).repartitionByRange("a").sortWithinPartitions("a"), "dump-table")
-        part = numbered(spark, part).withColumn("id", F.lit(i << SHIFT) + F.col("__n"))
+        part = numbered(part).withColumn("id", F.lit(i << SHIFT) + F.col("__n"))
         types = kinds.get(name, {})
         cols = [_typed(F.col("props")[k], t).alias(k) for k, t in sorted(types.items()) if t != T.NULL and k != pk]
         if pk is not None:
@@ -293,7 +293,7 @@ def _assembled(spark: SparkSession, said: DataFrame, indexes: tuple[Index, ...],
         for i, r in enumerate(sorted(r["name"] for r in full.select("name").distinct().collect())):
             part = full.where(F.col("name") == r)
             cols = [_typed(F.col("props")[k], t).alias(k) for k, t in sorted(kinds.get(r, {}).items()) if t != T.NULL]
-            table = numbered(spark, stored(part.select("src", "dst", *cols), "edges")).withColumn("id", F.lit(i << SHIFT) + F.col("__n")).drop("__n")
+            table = numbered(stored(part.select("src", "dst", *cols), "edges")).withColumn("id", F.lit(i << SHIFT) + F.col("__n")).drop("__n")
             ends = table.agg(F.collect_set(F.shiftright("src", SHIFT).cast("int")).alias("s"), F.collect_set(F.shiftright("dst", SHIFT).cast("int")).alias("d")).first()
             edges.append(EdgeTable(r, table.select("id", "src", "dst", *[c for c in table.columns if c not in ("id", "src", "dst")]), tuple(sorted(ends["s"])), tuple(sorted(ends["d"]))))
     return PropertyGraph(spark, tuple(tables), tuple(edges), indexes)

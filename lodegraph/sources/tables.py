@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import SHIFT, EdgeTable, Index, NodeTable, PropertyGraph
+from ..model import EdgeTable, Index, NodeTable, PropertyGraph, local_ids
 
 
 @dataclass(frozen=True)
 class NodeMap:
     """Rows of ``frame()`` as nodes: ``key`` is a whole-number column (unique,
-    from 0 to 2 ** 40), ``props`` maps property names to columns."""
+    from 0 to 2 ** 48 - 1, else an error), ``props`` maps property names to columns."""
 
     labels: tuple[str, ...]
     frame: Callable[[], DataFrame]
@@ -40,7 +40,7 @@ class EdgeMap:
 def from_tables(spark: SparkSession, nodes: list[NodeMap], edges: list[EdgeMap], indexes: tuple[Index, ...] = ()) -> PropertyGraph:
     """Ids are made from the keys alone, so nothing is shuffled or numbered."""
     ordinal = {m.labels[0]: i for i, m in enumerate(nodes)}
-    ids = lambda i, expr: (F.lit(i << SHIFT) + F.expr(expr).cast("bigint"))
+    ids = lambda i, expr: local_ids(i, F.expr(expr))
     made = tuple(NodeTable(m.labels, m.frame().select(ids(i, m.key).alias("id"), *(F.expr(c).alias(p) for p, c in m.props.items())), m.key_property) for i, m in enumerate(nodes))
     linked = tuple(
         EdgeTable(m.type, m.frame().select(ids(i, m.number).alias("id"), ids(ordinal[m.src[0]], m.src[1]).alias("src"), ids(ordinal[m.dst[0]], m.dst[1]).alias("dst"), *(F.expr(c).alias(p) for p, c in m.props.items())), (ordinal[m.src[0]],), (ordinal[m.dst[0]],))
@@ -87,7 +87,8 @@ def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
         c = messages().select("conv_id", "turn", F.lead("turn").over(order).alias("next_turn"))
         return c.where("next_turn is not null")
 
-    line = "l_orderkey * 8 + l_linenumber"
+    line = "if(l_linenumber BETWEEN 0 AND 7, l_orderkey * 8 + l_linenumber, -1)"
+    message = lambda turn: f"if({turn} BETWEEN 0 AND 65535, conv_id * 65536 + {turn}, -1)"
     nodes = [
         NodeMap(("Region",), t["region"], "r_regionkey", same("r", "regionkey", "name"), "regionkey"),
         NodeMap(("Nation",), t["nation"], "n_nationkey", same("n", "nationkey", "name"), "nationkey"),
@@ -99,7 +100,7 @@ def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
         NodeMap(("Event",), t["events"], "event_id", {"eventid": "event_id", "ts": "ts", "kind": "event_type", "value": "value"}, "eventid"),
         NodeMap(("Document",), t["documents"], "doc_id", {"docid": "doc_id", "text": "text", "lang": "lang", "source": "source"}, "docid"),
         NodeMap(("Vec",), t["embeddings"], "vec_id", {"vecid": "vec_id", "embedding": "embedding", "label": "label"}, "vecid"),
-        NodeMap(("Message",), messages, "conv_id * 4096 + turn", {"conv": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
+        NodeMap(("Message",), messages, message("turn"), {"conv": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
     ]
     edges = [
         EdgeMap("IN_REGION", t["nation"], ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey"),
@@ -107,10 +108,10 @@ def star_schema(spark: SparkSession, folder: str) -> PropertyGraph:
         EdgeMap("IN_NATION", t["supplier"], ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey"),
         EdgeMap("PLACED", t["orders"], ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderkey"),
         EdgeMap("CONTAINS", t["lineitem"], ("Order", "l_orderkey"), ("Part", "l_partkey"), line, {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "shipdate": "l_shipdate"}),
-        EdgeMap("SUPPLIED_BY", supplied, ("Part", "l_partkey"), ("Supplier", "l_suppkey"), "l_partkey * 1048576 + l_suppkey"),
+        EdgeMap("SUPPLIED_BY", supplied, ("Part", "l_partkey"), ("Supplier", "l_suppkey"), f"if(l_suppkey BETWEEN 0 AND {(1 << 21) - 1}, l_partkey * {1 << 21} + l_suppkey, -1)"),
         EdgeMap("DID", t["events"], ("User", "user_id"), ("Event", "event_id"), "event_id"),
         EdgeMap("NEXT", following, ("Event", "event_id"), ("Event", "next_id"), "event_id"),
-        EdgeMap("REPLY", replies, ("Message", "conv_id * 4096 + turn"), ("Message", "conv_id * 4096 + next_turn"), "conv_id * 4096 + turn"),
+        EdgeMap("REPLY", replies, ("Message", message("turn")), ("Message", message("next_turn")), message("turn")),
     ]
     indexes = (
         *(Index("range", "node", m.labels[0], (m.key_property,)) for m in nodes if m.key_property),

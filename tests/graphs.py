@@ -1,8 +1,8 @@
 """Small graphs as literal frames."""
 
-from lodegraph.model import EdgeTable, Index, NodeTable, PropertyGraph
+from lodegraph.model import SHIFT, EdgeTable, Index, NodeTable, PropertyGraph
 
-N = 1 << 40
+N = 1 << SHIFT
 #: The smallest of the driver's tables.
 SF = "/root/testdata/sf0.001"
 
