@@ -67,13 +67,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     links = checkpointed(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(degree, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("w")))
     ranks = checkpointed(nodes.join(degree, nodes["id"] == degree["src"], "left").select("id", F.lit(1.0 / n).alias("score"), F.col("d").isNull().alias("ends")))
+    loose = ranks.where("ends").count() / n
     for _ in range(ROUNDS):
-        loose = ranks.where("ends").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         base = (1 - DAMPING) / n + DAMPING * loose / n
         given = links.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        new = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("new"), "score", "ends")
-        new = checkpointed(new)
-        change = new.agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0]
+        new = checkpointed(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("new"), "score", "ends"))
+        change, loose = new.agg(F.sum(F.abs(F.col("new") - F.col("score"))), F.coalesce(F.sum(F.when(F.col("ends"), F.col("new"))), F.lit(0.0))).first()
         ranks = new.select("id", F.col("new").alias("score"), "ends")
         if change < TOLERANCE:
             break

@@ -27,6 +27,10 @@ def vectors(graph: PropertyGraph, index: Index) -> DataFrame:
 
 
 def checked(q: Column, dimension: int | None) -> Column:
+    """A query vector, or an error: elements that are null or not finite, or
+    another number of them than the index has."""
+    bad = F.exists(q, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    q = F.when(bad, F.raise_error(F.lit("a query vector has an element that is not finite")).cast("array<float>")).otherwise(q)
     if dimension is None:
         return q
     wrong = F.raise_error(F.concat(F.lit(f"the index has {dimension} dimensions, the vector "), F.size(q).cast("string"))).cast("array<float>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
@@ -18,16 +19,33 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: written aside, then renamed."""
+    """A small file, whole or not at all: written aside, then renamed over the
+    old one in one step, so that there is no moment without it."""
     fs, make = _fs(spark, path)
-    aside, there = make(path + ".tmp"), make(path)
+    aside = make(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(there):
-        fs.delete(there, False)
-    if not fs.rename(aside, there):
-        raise OSError(f"can't publish {path}")
+    _replace(spark, fs.makeQualified(aside), fs.makeQualified(make(path)))
+
+
+def _replace(spark: SparkSession, aside, there) -> None:
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    over = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, there, over)
+
+
+def _claimed(spark: SparkSession, root: str) -> str:
+    """A version that no other writer has: its claim file is made by one alone."""
+    fs, make = _fs(spark, root)
+    fs.mkdirs(make(root))
+    known = [int(m[1]) for s in fs.listStatus(make(root)) if (m := re.fullmatch(r"v(\d+)(?:\.claim)?", s.getPath().getName()))]
+    n = max(known, default=0)
+    while True:
+        n += 1
+        if fs.createNewFile(make(f"{root}/v{n}.claim")):
+            return f"v{n}"
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -42,12 +60,9 @@ def read_text(spark: SparkSession, path: str) -> str:
 def publish(graph: PropertyGraph, root: str) -> str:
     """Write a graph as the next version below ``root``; the pointer to it is
     changed last, so readers see the old version or the new one."""
-    spark = graph.spark
-    fs, make = _fs(spark, root)
-    fs.mkdirs(make(root))
-    known = [int(m[1]) for s in fs.listStatus(make(root)) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName()))]
-    version = f"v{max(known, default=0) + 1}"
-    at = f"{root.rstrip('/')}/{version}"
+    spark, root = graph.spark, root.rstrip("/")
+    version = _claimed(spark, root)
+    at = f"{root}/{version}"
     for kind, tables in (("nodes", graph.nodes), ("edges", graph.edges)):
         for i, t in enumerate(tables):
             t.df.write.parquet(f"{at}/{kind}/{i}")
@@ -57,7 +72,7 @@ def publish(graph: PropertyGraph, root: str) -> str:
         "indexes": [asdict(x) for x in graph.indexes],
     }
     write_text(spark, f"{at}/manifest.json", json.dumps(manifest))
-    write_text(spark, f"{root.rstrip('/')}/current", version)
+    write_text(spark, f"{root}/current", version)
     return version
 
 
