@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,18 +113,44 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     # procedures
     "c1_knn_cosine": ("MATCH (q:Vec) WHERE q.label = 3 CALL db.idx.vector.queryNodes('Vec', 'embedding', 3, q.embedding) YIELD node, score RETURN q.vecid AS q, count(node) AS n, round(max(score) * 10000) AS worst", "WITH d AS (SELECT q.vec_id AS q, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, v.vec_id AS v FROM embeddings q, embeddings v WHERE q.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s, v) AS r FROM d) SELECT q, count(*)::BIGINT AS n, round(max(s) * 10000) AS worst FROM r WHERE r <= 3 GROUP BY 1"),
     "c5_fulltext": (f"CALL db.idx.fulltext.queryNodes('Document', '{' | '.join(_WORDS)}') YIELD node, score RETURN node.docid AS d, round(score * 10000) AS s", _bm25(_WORDS)),
-    "c10_bfs": ("MATCH (s:Supplier) CALL algo.BFS(s, 2, null) YIELD nodes, edges RETURN s.suppkey AS k, size(nodes) AS n, size(edges) AS e, last(nodes).name AS region", "SELECT s_suppkey AS k, 2::BIGINT AS n, 2::BIGINT AS e, r_name AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"),
-    "c11_wcc": ("CALL algo.WCC({nodeLabels: ['Message'], relationshipTypes: ['REPLY']}) YIELD node, componentId RETURN node.conv AS conv, count(DISTINCT componentId) AS components, count(*) AS messages", "SELECT conv_id AS conv, 1::BIGINT AS components, count(*)::BIGINT AS messages FROM conversations GROUP BY 1"),
-    "c12_pagerank": ("CALL algo.pageRank('Nation', null) YIELD node, score RETURN node.name AS nation, round(score * 1000000) AS s", "SELECT n_name AS nation, round(1000000.0 / (SELECT count(*) FROM nation)) AS s FROM nation"),
+    "c10_bfs": ("MATCH (p:Part) WHERE p.partkey <= 60 CALL algo.BFS(p, 3, null) YIELD nodes, edges RETURN p.partkey AS k, size(nodes) AS n, size(edges) AS e, size([x IN nodes WHERE x:Region]) AS regions", """WITH s AS (SELECT DISTINCT l_partkey AS p, s_suppkey, n_nationkey, n_regionkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_partkey <= 60)
+SELECT p AS k, (count(DISTINCT s_suppkey) + count(DISTINCT n_nationkey) + count(DISTINCT n_regionkey))::BIGINT AS n, (count(DISTINCT s_suppkey) + count(DISTINCT n_nationkey) + count(DISTINCT n_regionkey))::BIGINT AS e, count(DISTINCT n_regionkey)::BIGINT AS regions FROM s GROUP BY p"""),
+    "c11_wcc": ("CALL algo.WCC({nodeLabels: ['Message'], relationshipTypes: ['REPLY']}) YIELD node, componentId WITH componentId AS c, count(*) AS size, min(node.conv) AS lo, max(node.conv) AS hi RETURN lo, hi, size", "SELECT conv_id AS lo, conv_id AS hi, count(*)::BIGINT AS size FROM conversations GROUP BY 1"),
+    "c11_wcc_events": ("CALL algo.WCC({nodeLabels: ['User', 'Event'], relationshipTypes: ['DID', 'NEXT']}) YIELD node, componentId WITH componentId AS c, count(*) AS size, min(node.userid) AS u, count(node.userid) AS users RETURN u, users, size", "SELECT user_id AS u, 1::BIGINT AS users, (count(*) + 1)::BIGINT AS size FROM events GROUP BY 1"),
+    "c12_pagerank": ("CALL algo.pageRank(null, 'IN_NATION') YIELD node, score WITH node, score WHERE node:Nation RETURN node.nationkey AS nation, round(score * 100000000) AS s", """WITH n AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) FROM events) + (SELECT count(*) FROM events) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM embeddings) + (SELECT count(*) FROM conversations) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS e),
+d AS (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS d FROM nation)
+SELECT n_nationkey AS nation, round((1 + 0.85::DOUBLE * d) / (n + 0.85::DOUBLE * e) * 100000000) AS s FROM d, n"""),
     "c13_harmonic": ("CALL algo.HarmonicCentrality({nodeLabels: ['Supplier', 'Nation', 'Region']}) YIELD node, score, reachable RETURN labels(node)[0] AS label, score, reachable, count(*) AS c", "SELECT 'Supplier' AS label, 1.5::DOUBLE AS score, 2::BIGINT AS reachable, count(*)::BIGINT AS c FROM supplier UNION ALL SELECT 'Nation', 1.0, 1, count(*)::BIGINT FROM nation UNION ALL SELECT 'Region', 0.0, 0, count(*)::BIGINT FROM region"),
-    "c14_betweenness": ("CALL algo.betweenness({nodeLabels: ['Supplier', 'Nation', 'Region']}) YIELD node, score RETURN node.name AS name, score", "SELECT n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)::DOUBLE AS score FROM nation UNION ALL SELECT s_name, 0.0 FROM supplier UNION ALL SELECT r_name, 0.0 FROM region"),
-    "c15_label_propagation": ("CALL algo.labelPropagation({nodeLabels: ['Nation', 'Region'], maxIterations: 4}) YIELD node, communityId RETURN node.name AS name, communityId AS community", None),
+    "c14_betweenness": ("CALL algo.betweenness({nodeLabels: ['Part', 'Supplier', 'Nation']}) YIELD node, score WITH node, score WHERE node:Supplier RETURN node.suppkey AS k, round(score * 10000) AS score", f"WITH {_SUP}, n AS (SELECT p, s, count(*) OVER (PARTITION BY p, s_nationkey) AS c FROM sup JOIN supplier ON s_suppkey = s) SELECT s_suppkey AS k, round(coalesce(sum(1.0::DOUBLE / c), 0) * 10000) AS score FROM supplier LEFT JOIN n ON s = s_suppkey GROUP BY 1"),
+    "c15_label_propagation": ("CALL algo.labelPropagation({nodeLabels: ['Nation', 'Region'], maxIterations: 4}) YIELD node, communityId RETURN node.name AS name, communityId AS community", "SELECT n_name AS name, (281474976710656 + min(n_nationkey) OVER (PARTITION BY n_regionkey))::BIGINT AS community FROM nation UNION ALL SELECT r_name, r_regionkey::BIGINT FROM region"),
+    "f_string_trim": ("MATCH (p:Part) RETURN p.partkey AS k, toLower(p.name) AS a, lower(p.brand) AS b, upper(p.name) AS c, ltrim('  x ') AS d, rtrim('  x ') AS e, isEmpty(p.name) AS f, isEmpty('') AS g, isEmpty([]) AS h", "SELECT p_partkey AS k, lower(p_name) AS a, lower(p_brand) AS b, upper(p_name) AS c, 'x ' AS d, '  x' AS e, p_name = '' AS f, true AS g, true AS h FROM part"),
+    "f_trigonometry": ("MATCH (s:Supplier) WITH s, s.acctbal / 10000.0 AS b RETURN s.suppkey AS k, round(log10(abs(b) + 1) * 10000) AS a, round(cot(b + 2) * 1000) AS b, round(acos(b) * 10000) AS c, round(asin(b) * 10000) AS d, round(atan(b) * 10000) AS f, round(tan(b) * 10000) AS g, round(exp(b) * 10000) AS h, round(radians(b) * 1000000) AS i, round(e() * 100000) AS j, round(cos(b) * 10000) AS l", "WITH s AS (SELECT s_suppkey AS k, s_acctbal / 10000.0::DOUBLE AS b FROM supplier) SELECT k, round(log10(abs(b) + 1) * 10000) AS a, round(cot(b + 2) * 1000) AS b, round(acos(b) * 10000) AS c, round(asin(b) * 10000) AS d, round(atan(b) * 10000) AS f, round(tan(b) * 10000) AS g, round(exp(b) * 10000) AS h, round(radians(b) * 1000000) AS i, 271828.0::DOUBLE AS j, round(cos(b) * 10000) AS l FROM s"),
+    "f_convert_lists": ("MATCH (p:Part) RETURN p.partkey AS k, toIntegerList([toString(p.size), 'x'])[0] AS a, toFloatList(['1.5', 'y'])[0] AS b, toBooleanList(['true', 'no'])[0] AS c, toIntegerOrNull('z') AS d, toIntegerOrNull(toString(p.size)) AS e, toFloatOrNull('2.5') AS f, toBooleanOrNull('maybe') AS g, toStringOrNull(p.size) AS h, toIntegerList(['x'])[0] AS i", "SELECT p_partkey AS k, p_size::BIGINT AS a, 1.5::DOUBLE AS b, true AS c, NULL::BIGINT AS d, p_size::BIGINT AS e, 2.5::DOUBLE AS f, NULL::BOOLEAN AS g, p_size::VARCHAR AS h, NULL::BIGINT AS i FROM part"),
+    "f_random": ("MATCH (s:Supplier) WITH rand() AS r, randomUUID() AS u, timestamp() AS t RETURN count(*) AS n, min(r) >= 0.0 AS lo, max(r) < 1.0 AS hi, min(size(u)) AS us, count(DISTINCT u) AS un, min(t) > 1600000000000 AS ts", "SELECT count(*)::BIGINT AS n, true AS lo, true AS hi, 36::BIGINT AS us, count(*)::BIGINT AS un, true AS ts FROM supplier"),
+    "f_properties": ("MATCH (n:Nation) WITH properties(n) AS p RETURN p.nationkey AS k, p.name AS name", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation"),
+    "f_vecf32": ("MATCH (v:Vec) RETURN v.vecid AS k, round(vec.cosineDistance(v.embedding, vecf32([x IN range(1, 64) | x % 7])) * 10000) AS c, round(similarity(v.embedding, v.embedding) * 10000) AS s", "SELECT vec_id AS k, round((1 - list_cosine_similarity(embedding::DOUBLE[], list_transform(range(1, 65), lambda x: (x % 7)::DOUBLE))) * 10000) AS c, 10000.0::DOUBLE AS s FROM embeddings"),
+    "f_temporal_types": ("MATCH (o:Order) WITH o, date(o.orderdate) AS d RETURN o.orderkey AS k, toString(date({year: d.year, month: d.month, day: 1})) AS first, toString(localtime('10:20:30')) AS t, localdatetime('2020-01-02T03:04:05').second AS sec, duration('P1Y2M').months AS m", "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate::DATE), '%Y-%m-%d') AS first, '10:20:30' AS t, 5::BIGINT AS sec, 2.0::DOUBLE AS m FROM orders"),
+    "c18_indexes": ("CALL db.indexes() YIELD label, type WITH type, count(*) AS n RETURN type, n", "SELECT * FROM (VALUES ('range', 10::BIGINT), ('vector', 1), ('fulltext', 2)) AS t(type, n)"),
+    "c19_property_keys": ("CALL db.propertyKeys() YIELD propertyKey AS k WHERE k IN ['acctbal', 'conv', 'quantity', 'nothing'] RETURN k", "SELECT unnest(['acctbal', 'conv', 'quantity']) AS k"),
+    "c19_visualization": ("CALL db.schema.visualization() YIELD source, type, target RETURN source, type, target", "SELECT * FROM (VALUES ('Nation', 'IN_REGION', 'Region'), ('Customer', 'IN_NATION', 'Nation'), ('Supplier', 'IN_NATION', 'Nation'), ('Customer', 'PLACED', 'Order'), ('Order', 'CONTAINS', 'Part'), ('Part', 'SUPPLIED_BY', 'Supplier'), ('User', 'DID', 'Event'), ('Event', 'NEXT', 'Event'), ('Message', 'REPLY', 'Message')) AS t(source, type, target)"),
+    "p13_show": ("SHOW DATABASES", "SELECT 'default' AS name, 'online' AS status"),
+    "j23_outer_variable": ("MATCH (n:Nation) WITH n MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE EXISTS { MATCH (s)<-[:SUPPLIED_BY]-(p:Part) WHERE p.size > n.nationkey } RETURN n.nationkey AS k, count(s) AS c", f"WITH {_SUP} SELECT s_nationkey::BIGINT AS k, count(*)::BIGINT AS c FROM supplier WHERE EXISTS (SELECT 1 FROM sup JOIN part ON p_partkey = p WHERE s = s_suppkey AND p_size > s_nationkey) GROUP BY 1"),
     "c17_stats": ("CALL db.meta.stats() YIELD nodeCount, relCount, labels RETURN labels.Customer AS customers, labels.Order AS orders, labels.Nation AS nations", "SELECT (SELECT count(*) FROM customer)::BIGINT AS customers, (SELECT count(*) FROM orders)::BIGINT AS orders, (SELECT count(*) FROM nation)::BIGINT AS nations"),
     "c19_labels": ("CALL db.labels() YIELD label RETURN label ORDER BY label", "SELECT unnest(['Customer', 'Document', 'Event', 'Message', 'Nation', 'Order', 'Part', 'Region', 'Supplier', 'User', 'Vec']) AS label"),
     "c19_types": ("CALL db.relationshipTypes() YIELD relationshipType RETURN relationshipType AS t", "SELECT unnest(['CONTAINS', 'DID', 'IN_NATION', 'IN_REGION', 'NEXT', 'PLACED', 'REPLY', 'SUPPLIED_BY']) AS t"),
 }
 
 
+_NEIGHBOURS = "MATCH (q:Vec) WHERE q.vecid < 20 CALL db.idx.vector.queryNodes('Vec', 'embedding', 4, q.embedding) YIELD node, score RETURN q.vecid AS q, node.vecid AS v, round(score * 10000) AS s"
+
+
+def _neighbours(distance: str, rows: str = "SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings") -> str:
+    return f"WITH x AS ({rows}), d AS (SELECT q.k AS q, v.k AS v, {distance} AS s FROM x q, x v WHERE q.k < 20), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s, v) AS r FROM d) SELECT q, v, round(s * 10000) AS s FROM r WHERE r <= 4"
+
+
+_WRITTEN = """SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id <> 3 AND vec_id NOT BETWEEN 10 AND 19
+UNION ALL SELECT unnest([vec_id - 10, -vec_id]), embedding::DOUBLE[] FROM embeddings WHERE vec_id BETWEEN 20 AND 29"""
+
 _GRAPHS: dict[tuple[str, str], PropertyGraph] = {}
 
 
@@ -182,7 +209,46 @@ def s9_dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, back).run("MATCH (s:Supplier)-[x:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN s.suppkey AS k, s.name AS name, s.acctbal AS bal, n.name AS nation, r.name AS region, x.since AS since")
 
 
+def _metric(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The neighbours of some vectors under another metric than the index has."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = graph(spark, sf_dir)
+        g = g.with_version(indexes=tuple(replace(x, metric=metric) if x.kind == "vector" else x for x in g.indexes))
+        return Engine(spark, g).run(_NEIGHBOURS)
+
+    return query
+
+
+def c4_knn_after_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search sees vectors that a write changed, made and took away."""
+    e = Engine(spark, graph(spark, sf_dir))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id BETWEEN 20 AND 29").selectExpr("explode(array(vec_id - 10, -vec_id)) AS k", "embedding AS v")
+    e.write("UNWIND $rows AS r MERGE (x:Vec {vecid: r.k}) SET x.embedding = vecf32(r.v)", {"rows": rows})
+    e.write("MATCH (x:Vec {vecid: 3}) DETACH DELETE x")
+    return e.run(_NEIGHBOURS)
+
+
+def w3_to_w14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation, replacement, patches, second labels and removal, one after the other."""
+    e = Engine(spark, graph(spark, sf_dir))
+    e.write("CREATE (r:Region {regionkey: 101, name: 'one'})")
+    e.write("INSERT (r:Region {regionkey: 102, name: 'two'})")
+    e.write("MERGE (r:Region {regionkey: 103}) ON CREATE SET r.name = 'three' ON MATCH SET r.name = 'old'")
+    e.write("MERGE (r:Region {regionkey: 103}) ON CREATE SET r.name = 'new' ON MATCH SET r.name = 'four'")
+    e.write("MATCH (r:Region {regionkey: 101}) SET r += {more: 5}")
+    e.write("MATCH (r:Region {regionkey: 102}) SET r = {regionkey: 102, more: 6}")
+    e.write("MERGE (r:Region {regionkey: 101})-[x:IN_REGION]->(s:Region {regionkey: 103}) SET x.since = 1")
+    e.write("CALL consolidate()")
+    e.write("MATCH (r:Region {regionkey: 0}) DETACH DELETE r")
+    return e.run("MATCH (r:Region) OPTIONAL MATCH (r)-[x:IN_REGION]->(s:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN r.regionkey AS k, r.name AS name, r.more AS more, x.since AS since, s.regionkey AS beyond, count(n) AS nations")
+
+
 FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "c2_knn_l2": (_metric("euclidean"), _neighbours("list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))")),
+    "c2_knn_dot": (_metric("dot"), _neighbours("-list_inner_product(q.e, v.e)")),
+    "c4_knn_after_write": (c4_knn_after_write, _neighbours("1 - list_cosine_similarity(q.e, v.e)", _WRITTEN)),
+    "w3_to_w14": (w3_to_w14, "SELECT r_regionkey::BIGINT AS k, r_name AS name, NULL::BIGINT AS more, NULL::BIGINT AS since, NULL::BIGINT AS beyond, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS nations FROM region WHERE r_regionkey <> 0 UNION ALL SELECT * FROM (VALUES (101, 'one', 5, 1, 103, 0), (102, NULL, 6, NULL, NULL, 0), (103, 'four', NULL, NULL, NULL, 0)) AS t(k, name, more, since, beyond, nations)"),
     "w1_merge": (w1_merge, "SELECT s_suppkey AS k, s_name AS name, 'S' || s_suppkey AS tag, s_acctbal AS bal FROM supplier UNION ALL SELECT -1 - s_suppkey, 'new', 'S' || s_suppkey, NULL FROM supplier"),
     "w6_detach_delete": (w6_detach_delete, "SELECT n_nationkey::BIGINT AS k, ((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey))::BIGINT AS c FROM nation WHERE n_nationkey <> 0"),
     "w8_edges": (w8_edges, "SELECT n_nationkey::BIGINT AS k, ((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE (c_nationkey + 1) % 25 = n_nationkey))::BIGINT AS c, (SELECT count(*) FROM customer WHERE (c_nationkey + 1) % 25 = n_nationkey)::BIGINT AS second FROM nation"),
