@@ -149,7 +149,8 @@ def _neighbours(distance: str, rows: str = "SELECT vec_id AS k, embedding::DOUBL
 
 
 _WRITTEN = """SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id <> 3 AND vec_id NOT BETWEEN 10 AND 19
-UNION ALL SELECT unnest([vec_id - 10, -vec_id]), embedding::DOUBLE[] FROM embeddings WHERE vec_id BETWEEN 20 AND 29"""
+UNION ALL SELECT vec_id - 10, list_transform(embedding::DOUBLE[], lambda x: -x) FROM embeddings WHERE vec_id BETWEEN 20 AND 29
+UNION ALL SELECT -vec_id, list_reverse(embedding::DOUBLE[]) FROM embeddings WHERE vec_id BETWEEN 20 AND 29"""
 
 _GRAPHS: dict[tuple[str, str], PropertyGraph] = {}
 
@@ -223,7 +224,7 @@ def _metric(metric: str) -> Callable[[SparkSession, str], DataFrame]:
 def c4_knn_after_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search sees vectors that a write changed, made and took away."""
     e = Engine(spark, graph(spark, sf_dir))
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id BETWEEN 20 AND 29").selectExpr("explode(array(vec_id - 10, -vec_id)) AS k", "embedding AS v")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id BETWEEN 20 AND 29").selectExpr("explode(array(struct(vec_id - 10 AS k, transform(embedding, x -> -x) AS v), struct(-vec_id AS k, reverse(embedding) AS v))) AS r").select("r.k", "r.v")
     e.write("UNWIND $rows AS r MERGE (x:Vec {vecid: r.k}) SET x.embedding = vecf32(r.v)", {"rows": rows})
     e.write("MATCH (x:Vec {vecid: 3}) DETACH DELETE x")
     return e.run(_NEIGHBOURS)
