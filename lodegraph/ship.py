@@ -14,10 +14,11 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once a context, unless their Python
-    path (that of the driver's start) holds it already."""
+    """Send the package to the executors once a context, unless they run on this
+    machine and their Python path (that of the driver's start) holds it already."""
     context = spark.sparkContext
-    if ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_lodegraph_shipped", False):
+    here = context.master.startswith("local") and ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here or getattr(context, "_lodegraph_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="lodegraph-package-")
     archive = shutil.make_archive(os.path.join(folder, "lodegraph"), "zip", ROOT, "lodegraph")
@@ -27,8 +28,8 @@ def ship(spark: SparkSession) -> None:
 
 def shipped(query: Callable) -> Callable:
     @wraps(query)
-    def run(spark: SparkSession, sf_dir: str):
+    def run(spark: SparkSession, *args):
         ship(spark)
-        return query(spark, sf_dir)
+        return query(spark, *args)
 
     return run

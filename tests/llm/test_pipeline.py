@@ -1,9 +1,27 @@
 """The corpus pipeline: every stage works on what its predecessor kept."""
 
+import os
+import subprocess
+import sys
+
 import corpus_pipeline as pipeline
 
 SF = "/root/testdata/sf0.001"
 
+#: The stages one by one, as a driver calls them whose workers lack the package.
+APART = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import corpus_pipeline
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.read.parquet(sys.argv[2] + "/documents.parquet")
+for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    stage(spark, docs, sys.argv[2]).write.parquet(f"out/{k}")
+    docs = spark.read.parquet(f"out/{k}")
+print("pieces", docs.count())
+"""
+
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -61,3 +79,12 @@ def test_classifier_judges_what_rules_keep(spark):
     bad = {r.doc_id for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0"), "doc_id").collect()}
     kept = {r.doc_id for r in pipeline.classifier(spark, docs, sf).collect()}
     assert bad and kept and not bad & kept
+
+
+def test_stages_send_the_package(spark, tmp_path):
+    """Stages called by themselves, where the workers' Python path lacks it."""
+    root = os.path.dirname(os.path.abspath(pipeline.__file__))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", APART, root, SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.strip() == f"pieces {pipeline.run(spark, SF).count()}"
