@@ -1,12 +1,13 @@
 """Ids, numbers and published generations."""
 
 import pytest
-from graphs import people
+from graphs import SF, people
 from pyspark.sql import functions as F
 
 from lodegraph.engine import Engine
 from lodegraph.model import SHIFT, local_ids, numbered
 from lodegraph.operators.knn import checked
+from lodegraph.queries import QUERIES, graph
 from lodegraph.sources import generations
 from lodegraph.storage import stored
 
@@ -24,6 +25,15 @@ def test_ids_of_other_tables_are_refused(spark, key):
     assert spark.range(1).select(local_ids(3, F.lit(None)).alias("id")).first()["id"] is None
 
 
+def test_seeks_take_the_ids_that_queries_return(spark):
+    """Whatever the layout of ids, the registered seek asks for these two nations."""
+    e = Engine(spark, graph(spark, SF))
+    nations = {r.i: r.name for r in e.run("MATCH (n:Nation) WHERE n.nationkey IN [1, 3] RETURN id(n) AS i, n.name AS name").collect()}
+    assert len(nations) == 2 and sorted(r.name for r in QUERIES["s5_id_seek"](spark, SF).collect()) == sorted(nations.values())
+    for i, name in nations.items():
+        assert [r.name for r in e.run(f"MATCH (n) WHERE id(n) = {i} RETURN n.name AS name").collect()] == [name]
+
+
 def test_numbers_are_dense(spark):
     rows = stored(spark.range(0, 1000, 1, 13).where("id % 7 <> 0"), "numbers")
     assert sorted(r["__n"] for r in numbered(rows).collect()) == list(range(rows.count()))
