@@ -203,7 +203,8 @@ class Planner(Matcher):
                 short = self._counted(part, i, rows)
                 if short is not None:
                     return short
-                rows = self.match_clause(rows, clause, ahead)
+                factored = self._factored(clause, ahead, rows)
+                rows = factored if factored is not None else self.match_clause(rows, clause, ahead)
             elif isinstance(clause, (A.With, A.Return)):
                 rows = self.project(rows, clause.projection)
             elif isinstance(clause, A.Unwind):
@@ -421,6 +422,52 @@ class Planner(Matcher):
         return None
 
     # UNWIND
+    def _factored(self, m: A.Match, ahead, rows: Rows) -> Rows | None:
+        """Comma patterns of which aggregates see no more than how many rows there
+        are: each is counted by what the others and the projection read of it and
+        the counts are multiplied, so that the patterns' product is never made."""
+        if m.optional or len(m.patterns) < 2 or not rows.unit or self._outer or not isinstance(ahead, (A.With, A.Return)) or ahead.projection.star:
+            return None
+        items = ahead.projection.items
+        calls = [x for x in walk(items) if isinstance(x, A.Call) and x.name.lower() in AGGREGATES]
+        if not calls or not all(x.distinct or x.name.lower() in ("count", "min", "max") for x in calls):
+            return None
+        if any(p.selector or p.path or not all(isinstance(r, A.RelPat) for r in p.rels) for p in m.patterns):
+            return None
+        nodes = [{n.var for n in p.nodes if n.var} for p in m.patterns]
+        names = [own | {r.var for r in p.rels if r.var} for own, p in zip(nodes, m.patterns)]
+        shared = {v for i, own in enumerate(names) for other in names[i + 1 :] for v in own & other}
+        if any(shared & own - of for own, of in zip(names, nodes)) or any(variables([p.nodes, p.rels]) - own for p, own in zip(m.patterns, names)):
+            return None
+        wheres: list[list[A.Expr]] = [[] for _ in m.patterns]
+        for e in conjuncts(m.where):
+            at = next((i for i, own in enumerate(names) if self._free(e) <= own), None)
+            if at is None or has_subquery(e):
+                return None
+            wheres[at].append(e)
+        left = list(range(len(names)))
+        made: Rows | None = None
+        while left:
+            at = next((i for i in left if made is not None and names[i] & set(made.scope)), left[0])
+            left.remove(at)
+            on = [v for v in made.scope if v in names[at]] if made is not None else []
+            base = Rows(made.df.select(*dict.fromkeys(c for v in on for c in made.scope[v].columns())).distinct(), {v: made.scope[v] for v in on}) if on else self.unit()
+            where = reduce(lambda a, b: A.Bin("AND", a, b), wheres[at]) if wheres[at] else None
+            found = self.match(base, [m.patterns[at]], where)
+            seen = variables(items) | {v for i in left for v in names[i]}
+            kept = {v: b for v, b in found.scope.items() if v in seen and v not in on}
+            keys = {v: self.fresh("k") for v in on}
+            by = [*(F.col(made.scope[v].id).alias(k) for v, k in keys.items()), *(F.col(c) for c in dict.fromkeys(c for b in kept.values() for c in b.columns()))]
+            n = self.fresh("n")
+            counted = found.df.groupBy(*by).agg(F.count(F.lit(1)).alias(n)) if by else found.df.agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 0)
+            if made is None:
+                made = Rows(counted, kept, weight=n)
+                continue
+            both = reduce(lambda a, b: a & b, (F.col(made.scope[v].id) == F.col(k) for v, k in keys.items()), F.lit(True))
+            df, times = made.df.join(counted, both) if keys else made.df.crossJoin(counted), self.fresh("n")
+            made = Rows(df.withColumn(times, F.col(made.weight) * F.col(n)).drop(made.weight, n, *keys.values()), made.scope | kept, weight=times)
+        return made
+
     def unwind(self, rows: Rows, c: A.Unwind) -> Rows:
         rows, source = self.lift(rows, c.source)
         v = self.exprs(rows.scope).value(source)
@@ -560,6 +607,7 @@ class Planner(Matcher):
         return Rows(out.df, kept)
 
     def _aggregate(self, rows: Rows, items: list[A.Item]) -> tuple[Rows, dict]:
+        weight = rows.weight
         keys = [i for i in items if not has_aggregate(i.expr)]
         mixed = [i for i in items if has_aggregate(i.expr)]
         rows, lifted = self.lift(rows, [i.expr for i in keys])
@@ -591,7 +639,7 @@ class Planner(Matcher):
             rows, args = self.lift(rows, call.args)
             e = self.exprs(rows.scope)
             name = self.fresh(call.name)
-            col, kind, empty, extra = self._reducer(e, call, args, name)
+            col, kind, empty, extra = self._reducer(e, call, args, name, weight)
             new += extra
             aggs.append(col.alias(name))
             defaults[name] = empty
@@ -631,15 +679,18 @@ class Planner(Matcher):
 
     _outer_base: DataFrame | None = None
 
-    def _reducer(self, e: Exprs, call: A.Call, args: list, name: str) -> tuple[Column, object, Column | None, list[Column]]:
-        """(aggregate, type, value over no rows, columns to project before)."""
+    def _reducer(self, e: Exprs, call: A.Call, args: list, name: str, weight: str | None = None) -> tuple[Column, object, Column | None, list[Column]]:
+        """(aggregate, type, value over no rows, columns to project before);
+        ``weight``: the column that holds how many rows a row stands for."""
         fn = call.name.lower()
         zero = F.lit(0).cast("bigint")
         if fn == "count":
             if call.star:
-                return F.count(F.lit(1)), T.INT, zero, []
+                return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), zero), T.INT, zero, []
             v = e(args[0])
             c = identity(v) if T.kind(v.type) in ("node", "rel") else v.col
+            if weight is not None and not call.distinct:
+                return F.coalesce(F.sum(F.when(c.isNotNull(), F.col(weight))), zero), T.INT, zero, []
             return F.count_distinct(c) if call.distinct else F.count(c), T.INT, zero, []
         if len(args) != (2 if fn.startswith("percentile") else 1):
             raise T.TypeProblem(f"{call.name}() takes {2 if fn.startswith('percentile') else 1} argument(s)")

@@ -31,6 +31,7 @@ class Rows:
     df: DataFrame
     scope: dict
     unit: bool = False  # one row, nothing bound
+    weight: str | None = None  # a column: how many rows a row stands for
 
     def where(self, c: Column) -> "Rows":
         return replace(self, df=self.df.where(c))

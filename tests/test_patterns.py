@@ -4,6 +4,8 @@ import pytest
 from graphs import cycle, diamond, multigraph, people, plain
 
 from lodegraph.engine import Engine
+from lodegraph.plans.compiler import Demand, Planner
+from lodegraph.plans.parser import parse
 from lodegraph.plans.types import TypeProblem
 
 
@@ -98,3 +100,21 @@ def test_parallel_edges(spark):
     assert rows(spark, g, "MATCH (a {name: 'a'})-[:R]->(b) RETURN b.name AS n, count(*) AS c") == [("b", 3), ("c", 1)]
     assert rows(spark, g, "MATCH (n) RETURN n.name AS n, outdegree(n) AS o") == [("a", 4), ("b", 1), ("c", 0)]
     assert rows(spark, g, "MATCH (a)-[:R]->(b)-[:R]->(c) RETURN count(*) AS c") == [(3,)]
+
+
+def test_comma_patterns_are_counted_apart(spark):
+    """Five edges into a node and five out of it: 25 rows counted, none of them made."""
+    edges = [(x, "h") for x in "abcde"] + [("h", x) for x in "vwxyz"] + [("a", "b"), ("c", "b")]
+    g = plain(spark, "habcdevwxyz", edges)
+    ends = "MATCH (a)-[:R]->(n), (n)-[:R]->(b)"
+    planner, query = Planner(g), parse(f"{ends} RETURN n.name AS n, count(*) AS c")
+    planner._demand = Demand.of(query)
+    counted = planner._factored(*query.parts[0], planner.unit())
+    assert sorted(r[counted.weight] for r in counted.df.collect()) == [2, 25]
+    both = [(a, n, b) for a, n in edges for m, b in edges if m == n]
+    assert rows(spark, g, f"{ends} RETURN n.name AS n, count(*) AS c, count(b) AS d, count(DISTINCT a) AS e, min(b.name) AS f") == [(n, sum(x[1] == n for x in both), sum(x[1] == n for x in both), len({x[0] for x in both if x[1] == n}), min(x[2] for x in both if x[1] == n)) for n in "bh"]
+    assert rows(spark, g, f"{ends} RETURN count(*) + 1 AS c") == [(len(both) + 1,)]
+    assert rows(spark, g, f"{ends} WHERE a.name > 'b' AND b.name > 'v' RETURN a.name AS a, count(*) AS c ORDER BY c LIMIT 9") == [(x, sum(a == x and b > "v" for a, _, b in both)) for x in "cde"]
+    assert rows(spark, g, f"{ends} WHERE a.name < n.name AND a.name < b.name RETURN count(*) AS c") == [(sum(a < n and a < b for a, n, b in both),)]
+    assert rows(spark, g, f"{ends}, (n)-[:R]->(c), (d {{name: 'b'}}) RETURN count(*) AS c") == [(5 * 25 + 2,)]
+    assert rows(spark, g, "MATCH (a {name: 'a'}), (b {name: 'none'}) RETURN count(*) AS c") == [(0,)]
