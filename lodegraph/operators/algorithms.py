@@ -6,18 +6,21 @@ on partitioned frames; nothing but counts and sums reaches the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..model import SHIFT
+from ..storage import checkpointed, stored
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-9
 
 
-def view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes, and the edges with both ends among them."""
-    e = edges.select("id", "src", "dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return checkpointed(nodes.select("id")), checkpointed(e)
+def view(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """The edges with both ends among the nodes that their ends can be."""
+    e = edges.select("id", "src", "dst").join(sources.select(F.col("id").alias("src")), "src", "left_semi")
+    return e.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def bfs(edges: DataFrame, source: DataFrame, max_level: int) -> DataFrame:
@@ -61,6 +64,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, score``; the mass of nodes without out-edges is spread evenly."""
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("score"))
@@ -81,39 +85,57 @@ def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``s, node, level`` of every node that each node reaches, but itself."""
-    return bfs(edges, nodes.select(F.col("id").alias("s")), 0).select("s", "node", "level")
+    return bfs(checkpointed(edges), nodes.select(F.col("id").alias("s")), 0).select("s", "node", "level")
 
 
 def harmonic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, score, reachable``: the sum of inverse distances along edges."""
+    nodes = checkpointed(nodes)
     far = distances(nodes, edges).groupBy("s").agg(F.sum(F.lit(1.0) / F.col("level")).alias("score"), F.count(F.lit(1)).alias("reachable"))
     return nodes.join(far, nodes["id"] == far["s"], "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("reachable", F.lit(0)).cast("bigint").alias("reachable"))
 
 
+def _tables(pairs: DataFrame) -> set[tuple]:
+    """The tables that pairs ``s, node`` are in."""
+    return {tuple(r) for r in pairs.select(*(F.shiftright(c, SHIFT) for c in ("s", "node"))).distinct().collect()}
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, score``: Brandes' sums over ordered pairs, parallel edges counted,
     for all sources together: a forward sweep of path counts by level, then a
-    backward one of dependencies."""
-    links = checkpointed(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    level = nodes.select(F.col("id").alias("s"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))
-    levels, seen = [checkpointed(level)], level.select("s", "node")
+    backward one of dependencies.
+
+    The first level is the edges themselves; only edges that go on from where
+    others end are joined to it and to those after it. Pairs of a level are held
+    against earlier ones only where some are in the same two tables.
+    """
+    links = checkpointed(edges.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    onward = stored(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "onward")
+    levels = [links.select(F.col("src").alias("s"), F.col("dst").alias("node"), F.col("w").alias("sigma"))]
+    tables = [_tables(levels[0])]
     while True:
-        nxt = levels[-1].join(links, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("to")).agg(F.sum(F.col("sigma") * F.col("w")).alias("sigma"))
-        nxt = nxt.withColumnRenamed("to", "node").join(seen, ["s", "node"], "left_anti").select("s", "node", "sigma")
-        nxt = checkpointed(nxt)
-        if nxt.isEmpty():
+        nxt = levels[-1].join(onward, F.col("node") == F.col("src")).where("s <> dst").groupBy("s", F.col("dst").alias("to")).agg(F.sum(F.col("sigma") * F.col("w")).alias("sigma"))
+        nxt = checkpointed(nxt.select("s", F.col("to").alias("node"), "sigma"))
+        there = _tables(nxt)
+        before = [x.select("s", "node") for x, known in zip(levels, tables) if known & there]
+        if before:
+            nxt = checkpointed(nxt.join(reduce(DataFrame.unionAll, before), ["s", "node"], "left_anti"))
+            there = _tables(nxt)
+        if not there:
             break
         levels.append(nxt)
-        seen = checkpointed(seen.unionAll(nxt.select("s", "node")))
+        tables.append(there)
     total = None
     delta = levels[-1].select("s", "node", "sigma", F.lit(0.0).alias("delta"))
     for k in range(len(levels) - 1, 0, -1):
-        part = delta.select("node", "delta")
-        total = part if total is None else total.unionAll(part)
-        after = delta.select("s", F.col("node").alias("next"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        back = levels[k - 1].join(links, F.col("node") == F.col("src")).join(after.withColumnRenamed("s", "s2"), (F.col("s") == F.col("s2")) & (F.col("dst") == F.col("next")))
+        after = delta.select(F.col("s").alias("s2"), F.col("node").alias("next"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        back = levels[k - 1].join(onward, F.col("node") == F.col("src")).join(after, (F.col("s") == F.col("s2")) & (F.col("dst") == F.col("next")))
         back = back.groupBy("s", "node").agg((F.first("sigma") * F.sum(F.col("w") * F.col("share"))).alias("delta"))
-        delta = checkpointed(levels[k - 1].join(back, ["s", "node"], "left").select("s", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")))
+        if k > 1:
+            back = checkpointed(back)
+            delta = levels[k - 1].join(back, ["s", "node"], "left").select("s", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
+        part = back.groupBy("node").agg(F.sum("delta").alias("delta"))
+        total = part if total is None else total.unionAll(part)
     if total is None:
         return nodes.select("id", F.lit(0.0).alias("score"))
     sums = total.groupBy("node").agg(F.sum("delta").alias("score"))
@@ -124,6 +146,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     """``id, communityId``: each round every node takes the commonest label of
     its neighbours (both ways, parallel edges counted; ties: the smallest); a
     community is named by its smallest node."""
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
     near = checkpointed(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
     labels = nodes.select("id", F.col("id").alias("label"))

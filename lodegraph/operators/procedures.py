@@ -93,8 +93,9 @@ def _view(planner, config: Val | None, known: tuple[str, ...] = ()):
             raise T.TypeProblem(f"unknown configuration key {k}")
     labels, types = settings.get("nodeLabels"), settings.get("relationshipTypes")
     nodes = g.node_tables(lambda has: labels is None or bool(has & set(labels)))
-    edges = g.edge_tables(lambda has: types is None or bool(has & set(types)))
-    return nodes, *algorithms.view(g.node_frame(nodes, []), g.edge_frame(edges, [])), settings
+    edges = [i for i in g.edge_tables(lambda has: types is None or bool(has & set(types))) if all(end is None or set(end) & set(nodes) for end in (g.edges[i].src, g.edges[i].dst))]
+    ends = [tuple(t for t in nodes if any(end is None or t in end for end in (getattr(g.edges[i], side) for i in edges))) for side in ("src", "dst")]
+    return nodes, g.node_frame(nodes, []), algorithms.view(g.edge_frame(tuple(edges), []), *(g.node_frame(tables, []) for tables in ends)), settings
 
 
 def _special(planner, rows: Rows, name: str, args: list[A.Expr]):

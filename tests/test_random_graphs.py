@@ -1,11 +1,13 @@
 """Random small graphs against a plain backtracking matcher."""
 
 import random
+from dataclasses import replace
 
 import pytest
-from graphs import plain
+from graphs import N, plain
 
 from lodegraph.engine import Engine
+from lodegraph.model import EdgeTable, NodeTable, PropertyGraph
 
 
 def walks(edges, start, low, high, rule):
@@ -48,3 +50,51 @@ def test_walks(spark, seed):
     chain = sorted((r["a"], r["c"]) for r in e.run("MATCH (a)-[:R]->(b)-[:R]-(c) RETURN a.name AS a, c.name AS c").collect())
     both = [(j, c, d) for j, (x, y) in enumerate(edges) for c, d in ((x, y), (y, x))]
     assert chain == sorted((a, d) for i, (a, b) in enumerate(edges) for j, c, d in both if i != j and c == b)
+
+
+def brandes(names, edges):
+    """Betweenness over ordered pairs, parallel edges counted, one source at a time."""
+    score = dict.fromkeys(names, 0.0)
+    for s in names:
+        dist, sigma, order, at = {s: 0}, {s: 1.0}, [s], 0
+        while at < len(order):
+            v, at = order[at], at + 1
+            for a, b in edges:
+                if a == v and b not in dist:
+                    dist[b] = dist[v] + 1
+                    order.append(b)
+                if a == v and dist[b] == dist[v] + 1:
+                    sigma[b] = sigma.get(b, 0.0) + sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in order[::-1]:
+            for a, b in edges:
+                if b == w and a in dist and dist[a] == dist[w] - 1:
+                    delta[a] += sigma[a] / sigma[w] * (1 + delta[w])
+            if w != s:
+                score[w] += delta[w]
+    return score
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_betweenness(spark, seed):
+    rng = random.Random(seed)
+    names = "abcdefghij"
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(16)]
+    e = Engine(spark, plain(spark, names, [*edges, edges[0]]))
+    got = {r["n"]: r["score"] for r in e.run("CALL algo.betweenness({}) YIELD node, score RETURN node.name AS n, score").collect()}
+    assert got == pytest.approx(brandes(names, [*edges, edges[0]]))
+
+
+def test_procedures_read_edges_between_their_nodes_only(spark):
+    """Edge tables whose ends can't be among the chosen nodes are left out of the plan."""
+    seen = []
+    g = plain(spark, "ab", [("a", "b")])
+    far = EdgeTable("FAR", spark.createDataFrame([(N, N, N)], "id bigint, src bigint, dst bigint"), (1,), (1,))
+    g = replace(g, nodes=(*g.nodes, NodeTable(("M",), spark.createDataFrame([(N,)], "id bigint"))), edges=(*g.edges, far))
+    kept = PropertyGraph.edge_frame
+    PropertyGraph.edge_frame = lambda self, tables, keys: seen.append(tables) or kept(self, tables, keys)
+    try:
+        assert Engine(spark, g).run("CALL algo.betweenness({nodeLabels: ['N']}) YIELD node, score RETURN count(*) AS c").first()[0] == 2
+    finally:
+        PropertyGraph.edge_frame = kept
+    assert seen == [(0,)]
