@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import METRICS
 from ..model import Index, PropertyGraph
 
-#: Rows of a block of vectors or of queries, and scores in memory at a time.
-BLOCK_ROWS, QUERY_ROWS, SCORES = 1 << 16, 1 << 13, 1 << 23
+#: Rows of a block of vectors, neighbours found for a block of queries, and
+#: scores in memory at a time.
+BLOCK_ROWS, FOUND_ROWS, SCORES = 1 << 15, 1 << 15, 1 << 20
 
 
 def vectors(graph: PropertyGraph, index: Index) -> DataFrame:
@@ -50,10 +51,47 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return -products
     if metric == "cosine":
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-        return 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms != 0)
+        np.divide(products, norms, out=products, where=norms != 0)  # of zero vectors it is zero already
+        return np.subtract(1.0, products, out=products)
     return np.stack([((x - one) ** 2).sum(1) for one in q]) if len(q) else products
 
 
+def matrix(column) -> np.ndarray:
+    """A column of lists of one length as rows of single precision."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().unique()
+    if len(sizes) != 1:
+        raise ValueError("the vectors have several numbers of dimensions")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), sizes[0].as_py())
+
+
+def search(left, right, metric: str, k: int):
+    """``q, id, score``: of a block of vectors ``id, v`` the nearest of each of a
+    block of queries ``q``. What it holds is bound by the blocks' sizes."""
+    import pyarrow as pa
+
+    schema = pa.schema([("q", pa.list_(pa.float32())), ("id", pa.int64()), ("score", pa.float64())])
+    if not left.num_rows or not right.num_rows or not k:
+        return schema.empty_table()
+    ids, x, q = left.column("id").to_numpy(), matrix(left.column("v")), matrix(right.column("q"))
+    if q.shape[1] != x.shape[1]:
+        raise ValueError(f"the vectors have {x.shape[1]} dimensions, the query {q.shape[1]}")
+    order = np.argsort(ids, kind="stable")  # of equal distances the smaller id comes first
+    ids, x = ids[order], x[order].astype(np.float64)
+    at, found, scores = [], [], []
+    step = max(1, SCORES // len(x))
+    for lo in range(0, len(q), step):
+        d = distances(metric, q[lo : lo + step].astype(np.float64), x)
+        for i, row in enumerate(d):
+            some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+            best = some[np.argsort(row[some], kind="stable")[:k]]
+            at.append(np.full(len(best), lo + i))
+            found.append(ids[best])
+            scores.append(row[best])
+    asked_for = right.column("q").take(pa.array(np.concatenate(at)))
+    return pa.table([asked_for.combine_chunks().cast(schema.field("q").type), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], schema=schema)
+
+
 def nearest_each(graph: PropertyGraph, index: Index, k: int, queries: DataFrame) -> DataFrame:
     """``q, id, score`` for each of ``queries(q)``, distinct vectors: every block
     of queries meets every block of vectors, and its best are ranked again."""
@@ -62,36 +100,10 @@ def nearest_each(graph: PropertyGraph, index: Index, k: int, queries: DataFrame)
     counts = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(queries.agg(F.count(F.lit(1)).alias("m"))).first()  # one row each
     spread = graph.spark.sparkContext.defaultParallelism
     blocks = max(1, -(-counts["n"] // BLOCK_ROWS), min(spread, counts["n"] // 256))
-    chunks = max(1, -(-counts["m"] // QUERY_ROWS))
+    chunks = max(1, -(-counts["m"] // max(64, FOUND_ROWS // max(k, 4))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), every(chunks).alias("c"), "id", "v")
     asked = wanted.select(every(blocks).alias("b"), F.pmod("h", F.lit(chunks)).cast("int").alias("c"), checked(F.col("q"), index.dimension).alias("q"))
-
-    def search(left, right):
-        import pyarrow as pa
-
-        schema = pa.schema([("q", pa.list_(pa.float32())), ("id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows or not k:
-            return schema.empty_table()
-        table = lambda c: np.stack([np.asarray(v, np.float64) for v in c.to_pylist()])
-        ids, x, q = left.column("id").to_numpy(), table(left.column("v")), table(right.column("q"))
-        if q.shape[1] != x.shape[1]:
-            raise ValueError(f"the vectors have {x.shape[1]} dimensions, the query {q.shape[1]}")
-        order = np.argsort(ids, kind="stable")  # of equal distances the smaller id comes first
-        ids, x = ids[order], x[order]
-        at, found, scores = [], [], []
-        step = max(1, SCORES // len(x))
-        for lo in range(0, len(q), step):
-            d = distances(metric, q[lo : lo + step], x)
-            for i, row in enumerate(d):
-                some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                best = some[np.argsort(row[some], kind="stable")[:k]]
-                at.append(np.full(len(best), lo + i))
-                found.append(ids[best])
-                scores.append(row[best])
-        asked_for = right.column("q").take(pa.array(np.concatenate(at)))
-        return pa.table([asked_for.combine_chunks().cast(schema.field("q").type), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], schema=schema)
-
-    found = dealt.groupBy("b", "c").cogroup(asked.groupBy("b", "c")).applyInArrow(search, "q array<float>, id bigint, score double")
+    found = dealt.groupBy("b", "c").cogroup(asked.groupBy("b", "c")).applyInArrow(lambda left, right: search(left, right, metric, k), "q array<float>, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
     return found.withColumn("r", rank).where(F.col("r") <= k).select("q", "id", "score")
