@@ -63,24 +63,39 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, score``; the mass of nodes without out-edges is spread evenly."""
-    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    """``id, score``; the mass of nodes without out-edges is spread evenly.
+
+    Nodes without in-edges have one score, a number; rounds are over the others,
+    for each of which the weights of its edges from such nodes are summed once.
+    """
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    links = checkpointed(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(degree, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("w")))
-    ranks = checkpointed(nodes.join(degree, nodes["id"] == degree["src"], "left").select("id", F.lit(1.0 / n).alias("score"), F.col("d").isNull().alias("ends")))
-    loose = ranks.where("ends").count() / n
+    edges = checkpointed(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    degree = edges.groupBy("src").agg(F.sum("w").alias("d"))
+    links = checkpointed(edges.join(degree, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("w")))
+    fed = stored(links.select(F.col("dst").alias("id")).distinct(), "fed")
+    inner = stored(links.join(fed.select(F.col("id").alias("src")), "src", "left_semi"), "inner")
+    even = links.join(fed.select(F.col("id").alias("src")), "src", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("even"))
+    ends = links.select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True))
+    ranks = fed.join(even, "id", "left").join(ends, "id", "left").select("id", F.lit(1.0 / n).alias("score"), F.coalesce("even", F.lit(0.0)).alias("even"), F.col("goes").isNull().alias("ends"))
+    ranks = checkpointed(ranks)
+    some, closed = ranks.agg(F.count(F.lit(1)), F.count(F.when(F.col("ends"), 1))).first()
+    going = degree.count()
+    rest, closed_rest, score = n - some, n - going - closed, 1.0 / n
+    loose = (n - going) / n
     for _ in range(ROUNDS):
         base = (1 - DAMPING) / n + DAMPING * loose / n
-        given = links.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        new = checkpointed(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("new"), "score", "ends"))
-        change, loose = new.agg(F.sum(F.abs(F.col("new") - F.col("score"))), F.coalesce(F.sum(F.when(F.col("ends"), F.col("new"))), F.lit(0.0))).first()
-        ranks = new.select("id", F.col("new").alias("score"), "ends")
+        given = inner.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
+        got = F.coalesce("got", F.lit(0.0)) + F.col("even") * F.lit(score)
+        new = checkpointed(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", (F.lit(base) + DAMPING * got).alias("new"), "score", "even", "ends"))
+        change, loose = new.agg(F.coalesce(F.sum(F.abs(F.col("new") - F.col("score"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("ends"), F.col("new"))), F.lit(0.0))).first()
+        change, loose, score = change + rest * abs(base - score), loose + closed_rest * base, base
+        ranks = new.select("id", F.col("new").alias("score"), "even", "ends")
         if change < TOLERANCE:
             break
-    return ranks.select("id", "score")
+    ranks = stored(ranks.select("id", "score"), "ranks")
+    return nodes.join(ranks, "id", "left").select("id", F.coalesce("score", F.lit(score)).alias("score"))
 
 
 def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:

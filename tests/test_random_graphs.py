@@ -8,6 +8,7 @@ from graphs import N, plain
 
 from lodegraph.engine import Engine
 from lodegraph.model import EdgeTable, NodeTable, PropertyGraph
+from lodegraph.operators import algorithms
 
 
 def walks(edges, start, low, high, rule):
@@ -98,3 +99,28 @@ def test_procedures_read_edges_between_their_nodes_only(spark):
     finally:
         PropertyGraph.edge_frame = kept
     assert seen == [(0,)]
+
+
+def ranks(names, edges):
+    """PageRank by plain rounds over all nodes."""
+    n, score = len(names), dict.fromkeys(names, 1 / len(names))
+    for _ in range(100):
+        loose = sum(score[v] for v in names if all(a != v for a, _ in edges))
+        new = {v: 0.15 / n + 0.85 * (loose / n + sum(score[a] / sum(x == a for x, _ in edges) for a, b in edges if b == v)) for v in names}
+        change, score = sum(abs(new[v] - score[v]) for v in names), new
+        if change < 1e-9:
+            break
+    return score
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pagerank(spark, seed, monkeypatch):
+    """Nodes that have no in-edges take no part in the rounds."""
+    rng = random.Random(seed)
+    names = "abcdefghij"
+    edges = [(rng.choice("abcdefg"), rng.choice("efghi")) for _ in range(14)]
+    sizes, kept = [], algorithms.checkpointed
+    monkeypatch.setattr(algorithms, "checkpointed", lambda df: sizes.append(kept(df)) or sizes[-1])
+    got = {r["n"]: r["score"] for r in Engine(spark, plain(spark, names, edges)).run("CALL algo.pageRank(null, 'R') YIELD node, score RETURN node.name AS n, score").collect()}
+    assert got == pytest.approx(ranks(names, edges), abs=1e-12)
+    assert all(x.count() == len({b for _, b in edges}) for x in sizes if "even" in x.columns) and not any(x.columns == ["id"] for x in sizes)
