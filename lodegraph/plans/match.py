@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import SHIFT, PropertyGraph
-from ..storage import checkpointed
+from ..storage import checkpointed, stored
 from . import ast as A
 from . import types as T
 from .expressions import Exprs, conjuncts, no_properties, walk
@@ -23,6 +23,8 @@ from .values import NodeB, RelB, Val, ValB
 
 #: Hops that a variable-length pattern may have before levels are checkpointed.
 LAZY_LEVELS = 3
+#: Hops of a variable-length pattern up to which tables are pruned hop by hop.
+PRUNED_LEVELS = 8
 _SUBQUERY = (A.PatternPredicate, A.Exists, A.PatternComp, A.ShortestPath)
 
 
@@ -276,6 +278,7 @@ class Matcher:
         bound = [i for i in range(n) if p.nodes[i].var and p.nodes[i].var in rows.scope]
         shown = self.path_keys(p)
         more = set(shown or ())
+        scanned = False
         at: dict[int, NodeB] = {}
         if bound:
             start = bound[0]
@@ -291,6 +294,7 @@ class Matcher:
             if start == 0 and rows.unit and first is not None and not first.variable and not node.props and not self._keys("node", node.var, self._tables(node), more):
                 at[0] = None  # the edges name it
             else:
+                scanned = rows.unit
                 scan, at[start] = self._scan(node, more)
                 rows = Rows(scan if rows.unit else rows.df.crossJoin(scan), rows.scope | ({node.var: at[start]} if node.var else {}))
                 rows = self._props(rows, at[start], node.props)
@@ -304,7 +308,7 @@ class Matcher:
             direction = rel.direction if right else flipped(rel.direction)
             if rel.variable:
                 lone = n == 2 and not p.path and not rel.var and reach and not used
-                rows, at[there], segments[i] = self._variable(rows, at[here], rel, direction, p.nodes[there], used, p.restrictor, shown, right, lone)
+                rows, at[there], segments[i] = self._variable(rows, at[here], rel, direction, p.nodes[there], used, p.restrictor, shown, right, lone, scanned)
             else:
                 rows, at[here], at[there], segments[i] = self._hop(rows, at[here], p.nodes[here], rel, direction, p.nodes[there], used, more)
             rows, pending = self._apply(rows, pending)
@@ -366,14 +370,14 @@ class Matcher:
         kind = ("rel", e._fields("edge", b))
         return part.df.select(F.col(b.id).alias("e"), F.col(a).alias("a"), F.col(z).alias("z"), made.alias("r")), kind, b.tables, far_in
 
-    def _variable(self, rows: Rows, near: NodeB, rel: A.RelPat, direction: str, far: A.NodePat, used: list, restrictor: str | None, shown: set[str] | None, forward: bool, lone: bool):
+    def _variable(self, rows: Rows, near: NodeB, rel: A.RelPat, direction: str, far: A.NodePat, used: list, restrictor: str | None, shown: set[str] | None, forward: bool, lone: bool, scanned: bool):
         low, high = rel.low, rel.high
         reach = lone and low <= 1 and direction != "both" and restrictor in (None, "WALK", "TRAIL")
         steps, kind, tables, far_in = self._steps(rel, direction, near.tables, self._tables(far), shown)
         want_rels = (rel.var is not None and not reach) or shown is not None
         ids = rows.df.select(F.col(near.id).alias("s")).where("s is not null").distinct()
         if reach:
-            found = self._reach(ids, steps.select("a", "z"), low, high)
+            found = self._reach(ids, rel, direction, near.tables, self._tables(far), low, high, scanned)
         else:
             found = self._walk(ids, steps, low, high, restrictor or "TRAIL", want_rels, shown)
         cols = {c: self.fresh(c) for c in found.columns}
@@ -428,21 +432,60 @@ class Matcher:
             return level.where(F.lit(False))
         return reduce(DataFrame.unionAll, out)
 
-    def _reach(self, ids: DataFrame, steps: DataFrame, low: int, high: int) -> DataFrame:
+    def _reach(self, ids: DataFrame, rel: A.RelPat, direction: str, near: tuple[int, ...], far: tuple[int, ...], low: int, high: int, scanned: bool) -> DataFrame:
         """Distinct ``s, z`` within so many hops: what was reached goes no
-        further, so levels hold no more rows than there are pairs."""
-        level = ids.select("s", F.col("s").alias("z"))
-        seen = level if low == 0 else level.where(F.lit(False))
-        pairs = checkpointed(steps.select(F.col("a"), F.col("z").alias("y")).distinct()) if high > 1 else steps.select(F.col("a"), F.col("z").alias("y"))
+        further, so levels hold no more rows than there are pairs.
+
+        A hop reads only edge tables that lie on a way from near to far tables
+        within the hops left. Where most nodes of the near tables are to start
+        and fewer are to be reached, levels grow back from the far end.
+        """
+        every, near, far = tuple(range(len(self.graph.nodes))), tuple(near), tuple(far)
+
+        def hop(a_in: tuple[int, ...], z_in: tuple[int, ...]):
+            edges, b, a, z, from_, to = self._edges(rel, direction, a_in, z_in)
+            df = self._props(Rows(edges, {}), b, rel.props).df.select(F.col(a).alias("a"), F.col(z).alias("y"))
+            return df, tuple(t for t in from_ if t in a_in), tuple(t for t in to if t in z_in), b.tables
+
+        pruned = high <= PRUNED_LEVELS
+        out, back = [near], [far]  # tables so many hops from either end
+        for _ in range(high if pruned else 0):
+            out.append(hop(out[-1], every)[2])
+            back.append(hop(every, back[-1])[1])
+        within = lambda sets: tuple(sorted({t for s in sets for t in s}))
+        reverse = False
+        if scanned and pruned and high > 1:
+            last, first = hop(within(out[:high]), far)[0].select("y").distinct().count(), ids.count()
+            reverse = last < first and 2 * first >= self.graph.node_frame(near, []).count()
+
+        def ends(k: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+            if not pruned:
+                return every, every
+            return (within(out[: high - k + 1]), back[k - 1]) if reverse else (out[k - 1], within(back[: high - k + 1]))
+
+        once: dict[tuple[int, ...], DataFrame] = {}  # edges that several hops read
+        start = ids.select("s", F.col("s").alias("z"))
+        levels, known, level = [start] if low == 0 else [], [near] if low == 0 else [], start
         for k in range(1, high + 1):
-            nxt = level.join(pairs, F.col("z") == F.col("a")).select("s", F.col("y").alias("z")).distinct()
-            level = nxt.join(seen, ["s", "z"], "left_anti") if k > 1 or low == 0 else nxt
+            pairs, from_, to, tables = hop(*ends(k))
+            if tables not in once and any(hop(*ends(j))[3] == tables for j in range(k + 1, min(high, k + PRUNED_LEVELS) + 1)):
+                once[tables] = stored(pairs.distinct(), "pairs")
+            pairs, there = once.get(tables, pairs), from_ if reverse else to
+            if reverse:
+                nxt = pairs.select(F.col("a").alias("s"), F.col("y").alias("z")) if k == 1 else pairs.join(level, F.col("y") == F.col("s")).select(F.col("a").alias("s"), "z")
+            else:
+                nxt = level.join(pairs, F.col("z") == F.col("a")).select("s", F.col("y").alias("z"))
+            level = nxt.distinct()
+            before = [x for x, tables in zip(levels, known) if set(tables) & set(there)]
+            if before:
+                level = level.join(reduce(DataFrame.unionAll, before), ["s", "z"], "left_anti")
             if high > 1:  # each level is read by all that follow
-                level = checkpointed(level)
+                level = stored(level, "reach")
                 if level.isEmpty():
                     break
-            seen = seen.unionAll(level) if k > 1 or low == 0 else level
-        return seen
+            levels.append(level)
+            known.append(there)
+        return reduce(DataFrame.unionAll, levels) if levels else start.where(F.lit(False))
 
     # shortest paths
     def _shortest(self, rows: Rows, p: A.Pattern, pending: list[A.Expr]) -> tuple[Rows, list[A.Expr]]:

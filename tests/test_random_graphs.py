@@ -9,6 +9,7 @@ from graphs import N, plain
 from lodegraph.engine import Engine
 from lodegraph.model import EdgeTable, NodeTable, PropertyGraph
 from lodegraph.operators import algorithms
+from lodegraph.plans import match
 
 
 def walks(edges, start, low, high, rule):
@@ -124,3 +125,24 @@ def test_pagerank(spark, seed, monkeypatch):
     got = {r["n"]: r["score"] for r in Engine(spark, plain(spark, names, edges)).run("CALL algo.pageRank(null, 'R') YIELD node, score RETURN node.name AS n, score").collect()}
     assert got == pytest.approx(ranks(names, edges), abs=1e-12)
     assert all(x.count() == len({b for _, b in edges}) for x in sizes if "even" in x.columns) and not any(x.columns == ["id"] for x in sizes)
+
+
+def test_reach_grows_from_the_smaller_end(spark, monkeypatch):
+    """Many starts, one end: levels hold a pair for each node and that end, and
+    the hops read only tables on the way."""
+    levels, kept = [], match.stored
+    monkeypatch.setattr(match, "stored", lambda df, what: levels.append((what, kept(df, what))) or levels[-1][1])
+    rows = lambda n, at: spark.createDataFrame([(at + i, f"{i:02d}") for i in range(n)], "id bigint, name string")
+    hops = lambda pairs: spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id bigint, src bigint, dst bigint")
+    a_b = [(i, N + j) for i in range(20) for j in range(10)]
+    b_c = [(N + j, 2 * N + j % 2) for j in range(9)]
+    nodes = tuple(NodeTable((x,), rows(n, t * N)) for t, (x, n) in enumerate((("A", 20), ("B", 10), ("C", 2))))
+    edges = (EdgeTable("R", hops(a_b), (0,), (1,)), EdgeTable("R", hops(b_c), (1,), (2,)), EdgeTable("R", hops([(2 * N, 0)]), (2,), (0,)))
+    e = Engine(spark, PropertyGraph(spark, nodes, edges))
+    got = lambda q: sorted(tuple(r) for r in e.run(q).collect())
+    assert got("MATCH (a:A)-[:R*1..2]->(c:C) WITH DISTINCT a, c RETURN c.name AS c, count(*) AS n") == [("00", 20), ("01", 20)]
+    assert [x.count() for what, x in levels if what == "reach"] == [9, 40]  # before 200 pairs of A and B
+    assert got("MATCH (a:A {name: '03'})-[:R*1..2]->(c:C) RETURN DISTINCT c.name AS c") == [("00",), ("01",)]
+    assert got("MATCH (a:A)-[:R*0..3]->(x:A) WITH DISTINCT a, x RETURN x.name AS x, count(*) AS n")[:2] == [("00", 20), ("01", 1)]
+    assert got("MATCH (a:B)-[:R*1..9]->(x) WITH DISTINCT a, x RETURN count(*) AS n") == [(5 * 13 + 4,)]
+    assert got("MATCH (c:C)<-[:R*1..2]-(a:A) WITH DISTINCT a, c RETURN count(*) AS n") == [(40,)]
